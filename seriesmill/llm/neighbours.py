@@ -28,12 +28,16 @@ def fingerprint_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str
     return docs.select(id_col, F.col(text_col).cast("string")).mapInArrow(run, f"id {kind}, fingerprint string").withColumnRenamed("id", id_col)
 
 
+def _bounds(heads: list[int]) -> Column:
+    """heads as one constant, whatever their number."""
+    return F.split(F.lit(",".join(map(str, heads))), ",").cast("array<bigint>")
+
+
 def _slot(value: Column, heads: list[int]) -> Column:
     """How many of heads (falling) are greater than or equal to value, less one: a binary search as one expression."""
-    bounds = F.array(*[F.lit(h).cast("long") for h in heads])
-    steps = [1 << i for i in reversed(range(len(heads).bit_length()))]
-    jump = lambda at, s: F.when((at + s < len(heads)) & (F.get(bounds, at + s) >= value), at + s).otherwise(at)
-    return F.aggregate(F.array(*[F.lit(s) for s in steps]), F.lit(0), jump)
+    steps = F.array(*[F.lit(1 << i) for i in reversed(range(len(heads).bit_length()))])
+    jump = lambda at, s: F.when((at + s < len(heads)) & (F.get(_bounds(heads), at + s) >= value), at + s).otherwise(at)
+    return F.aggregate(steps, F.lit(0), jump)
 
 
 def _chained(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -90,9 +94,11 @@ def edited_likeness(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     slots = len(heads) + (stats["ids"] < stats["n"])  # null ids have the last slot
     value = F.col("id")
     slot = F.when(value.isNull(), slots - 1).otherwise(_slot(value, heads)) if heads else F.lit(0)
+    placed = own.select(slot.cast("int").alias("slot"), "id", "text")
     # the first row of a slot: the least text of its greatest id
-    first = own.where(value.isNull() | value.isin(heads)).select(slot.alias("slot"), "id", "text").groupBy("slot").agg(F.min_by(F.struct("id", "text"), F.coalesce("text", F.lit(""))).alias("r"))
+    at_head = value.isNull() | (value == F.get(_bounds(heads), F.col("slot"))) if heads else F.lit(True)
+    first = placed.where(at_head).groupBy("slot").agg(F.min_by(F.struct("id", "text"), F.coalesce("text", F.lit(""))).alias("r"))
     tails = first.select(F.pmod(F.col("slot") - 1, F.lit(slots)).cast("int").alias("slot"), F.col("r.id").alias("id"), F.col("r.text").alias("text"), F.lit(True).alias("tail"))
-    rows = own.select(slot.cast("int").alias("slot"), "id", "text", F.lit(False).alias("tail")).union(tails)
+    rows = placed.withColumn("tail", F.lit(False)).union(tails)
     dealt = rows.repartition(parts, "slot").sortWithinPartitions("slot", "tail", F.col("id").desc_nulls_last(), F.coalesce("text", F.lit("")))
     return dealt.select("slot", "id", "text").mapInArrow(_chained, SCHEMA)
