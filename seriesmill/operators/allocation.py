@@ -8,7 +8,7 @@ import numpy as np
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions import frames as W
+from ..cluster import ship
 from ..spec import SeriesSpec
 from . import solvers
 from .moments import Value
@@ -53,6 +53,7 @@ def weights(df: DataFrame, spec: SeriesSpec, method: str | Callable = "ERC", by:
 
     Panels are told apart by the column by; each is solved in one task, which is bounded by its N series times T rows.
     """
+    ship(df.sparkSession)
     s, t = _one(spec)
     solve = solvers.METHODS[method] if isinstance(method, str) else method
     rows = df.select((F.col(by) if by else F.lit(0)).cast("string").alias("g"), F.col(t).alias("rn"), F.col(s).cast("string").alias("s"), spec.x(value).alias("x"))
@@ -89,6 +90,7 @@ def rolling_allocation(df: DataFrame, spec: SeriesSpec, method: str | Callable =
     the row that each window starts at. Gaps are filled with the last price; series constant for half of a window are left
     out of it. With drift, weights follow prices within a window, else each row rebalances. Windows are solved in parallel.
     """
+    ship(df.sparkSession)
     key, order = _one(spec)
     solve = solvers.METHODS[method] if isinstance(method, str) else method
     dates = df.select(order).distinct().withColumn("rn", F.row_number().over(Window.orderBy(order)) - 1)

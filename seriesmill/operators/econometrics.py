@@ -12,6 +12,7 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..cluster import ship
 from ..spec import SeriesSpec
 from .moments import Value
 
@@ -132,6 +133,7 @@ def estimation(y: np.ndarray, x0: Sequence[float], p: int = 0, q: int = 0, Q: in
 
 def residuals(df: DataFrame, spec: SeriesSpec, par: Parameters, exogenous: Sequence[str] = (), garch: bool = True, value: Value = None, u: str = "u", h: str = "h") -> DataFrame:
     """df with residuals u and deviations h of each series: ARMA, or with alpha and beta ARMA-GARCH, or with psi ARMAX-GARCH."""
+    ship(df.sparkSession)
     rows = df.withColumn("_y", spec.x(value))
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in df.schema) + f", `{u}` double, `{h}` double"
 
@@ -156,6 +158,7 @@ def arma(df: DataFrame, spec: SeriesSpec, phi: Sequence[float], theta: Sequence[
 
 def fit_series(df: DataFrame, spec: SeriesSpec, x0: Sequence[float], p: int = 0, q: int = 0, Q: int = 0, P: int = 0, cons: bool = True, model: str = "garch", value: Value = None) -> DataFrame:  # noqa: N803
     """One row per series: phi, theta, alpha, beta (arrays), c, omega and the negative log-likelihood of its estimation."""
+    ship(df.sparkSession)
     rows = df.select(*spec.keys, F.struct(*spec.order).alias("_t"), spec.x(value).alias("_y")).where("_y is not null")
     keys = ", ".join(f"`{k}` {df.schema[k].dataType.simpleString()}" for k in spec.keys)
     series = rows.groupBy(*spec.keys).agg(F.transform(F.array_sort(F.collect_list(F.struct("_t", "_y"))), lambda v: v["_y"]).alias("ys"))

@@ -12,6 +12,7 @@ import numpy as np
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..cluster import ship
 from ..spec import SeriesSpec, check_kind
 from .networks import Perceptron
 
@@ -44,6 +45,7 @@ def walk_forward(df: DataFrame, spec: SeriesSpec, features: Sequence[str], facto
     target_filter changes targets before training (np.sign, say). reset starts a model's weights anew every so many windows,
     staggered over models. Rows with a NULL feature or target are left out; a series too short for a window gives no row.
     """
+    ship(df.sparkSession)
     target = target or spec.value
     roll_ = roll or test
     names = list(models)

@@ -11,12 +11,15 @@ from collections.abc import Iterator
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..cluster import ship
+
 OUT = "key string, t double, x double, ema double, emstd double, peak double, drawdown double, n long"
 STATE = "t double, ema double, var double, peak double, n long"
 
 
 def running(stream: DataFrame, key: str, time: str, value: str, alpha: float = 0.94) -> DataFrame:
     """OUT for each row of a stream: exponential average and deviation (decay alpha), greatest value, drawdown and count."""
+    ship(stream.sparkSession)
     rows = stream.select(F.col(key).cast("string").alias("key"), F.col(time).cast("double").alias("t"), F.col(value).cast("double").alias("x")).where("x is not null and t is not null")
 
     def update(group: tuple, frames: Iterator, state) -> Iterator:
