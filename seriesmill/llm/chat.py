@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import small_batches
+from .common import python_workers
 from .packing import encoder
 
 START, END = "\x02", "\x03"
@@ -146,7 +146,7 @@ def format_conversations(rows: DataFrame, tokenizer_path: str, part_chars: int =
     are one conversation. A partition is read turn by turn, so no conversation is held whole. Parts of one conversation
     stay together and in order. An empty table gives an empty result; other columns are ignored.
     """
-    small_batches(rows.sparkSession)
+    python_workers(rows.sparkSession)
     own = rows.select(F.col("conv_id").cast("long").alias("conv_id"), "turn", F.col("role").cast("string").alias("role"), F.col("text").cast("string").alias("text"))
     dealt = own.repartition("conv_id").sortWithinPartitions("conv_id", "turn", "role", "text")
     return dealt.select("conv_id", "role", "text").mapInArrow(_formatted(tokenizer_path, part_chars), PART_SCHEMA)

@@ -9,6 +9,8 @@ import uuid
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..cluster import ship
+
 #: The characters that separate words: space and the ASCII controls 9 to 13.
 SPACE_CLASS = r"\x20\x09-\x0D"
 SPACES = " \t\n\x0b\x0c\r"
@@ -47,8 +49,9 @@ def discard(df: DataFrame) -> None:
         where.getFileSystem(spark._jsc.hadoopConfiguration()).delete(where, True)
 
 
-def small_batches(spark: SparkSession, rows: int = 1000) -> None:
-    """Bounds the Arrow batches that hold whole texts, so that a Python worker's memory stays small."""
+def python_workers(spark: SparkSession, rows: int = 1000) -> None:
+    """Sends the package to the Python workers and bounds Arrow batches, which hold whole texts, so that memory stays small."""
+    ship(spark)
     key = "spark.sql.execution.arrow.maxRecordsPerBatch"
     if not 0 < int(spark.conf.get(key)) <= rows:
         spark.conf.set(key, rows)

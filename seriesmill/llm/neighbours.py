@@ -10,14 +10,14 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from . import parsing as P
-from .common import shuffle_partitions, small_batches
+from .common import shuffle_partitions, python_workers
 
 SCHEMA = "doc_id long, n_chars long, edited_sha256 string, fingerprint string, edited_fingerprint string, near_edited double, near_next double"
 
 
 def fingerprint_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(id_col, fingerprint) for every row of docs; null texts count as empty, other columns are ignored."""
-    small_batches(docs.sparkSession)
+    python_workers(docs.sparkSession)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -82,7 +82,7 @@ def edited_likeness(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     each slot also gets the first row of the slot that follows.
     """
     spark = docs.sparkSession
-    small_batches(spark, 500)
+    python_workers(spark, 500)
     parts = shuffle_partitions(spark)
     own = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text"))
     cut = min(4 * parts, 20_000)

@@ -20,7 +20,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import materialize, small_batches
+from .common import materialize, python_workers
 
 PIECE_SCHEMA = "doc_id long, piece int, start long, length long, ids_crc32 long"
 #: Fixed value: the pattern by which byte-level BPE of this vocabulary splits texts before merging.
@@ -106,7 +106,7 @@ def _tokenized(path: str, limit: int, end_id: int, with_ids: bool):
 
 def token_pieces(docs: DataFrame, tokenizer_path: str, limit: int = 2048, end_id: int = 0, with_ids: bool = False, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Every document's ids and the end id, cut into pieces of at most limit; null texts count as empty (the end id alone)."""
-    small_batches(docs.sparkSession)
+    python_workers(docs.sparkSession)
     own = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
     return own.mapInArrow(_tokenized(tokenizer_path, limit, end_id, with_ids), PIECE_SCHEMA + (", ids array<int>" if with_ids else ""))
 

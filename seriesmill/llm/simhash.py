@@ -9,8 +9,10 @@ Two schemes:
 * `exact_scheme()`: 64 bits, links at 3 or fewer differing bits, no link lost. Of four 16-bit blocks at least one has no
   error; whichever of the patterns (0,0,0,3), (0,0,1,2), (0,1,1,1) holds, some errorless block is followed, cyclically, by
   one with at most one error, which the Golay keys forgive. So four tables, each with a block exact and the next one fuzzy.
-* `similarity_scheme(s)`: links documents whose shingle sets are alike by s (Jaccard) or more, as estimated from 256 bits.
-  That many differing bits cannot be met by pigeonholes, so each of many independent tables forgives two errors in 23 bits.
+* `similarity_scheme(s)`: links documents whose shingle sets are alike by s (Jaccard) or more. That many differing bits
+  can't be met by pigeonholes, so each of many independent tables forgives two errors in 23 bits, and 256 bits are compared:
+  pairs that are surely alike by them are links, pairs that may be are verified by their shingle sets themselves. In buckets
+  of more than SHORT_RUN different fingerprints, where pairs would grow with the square, links are those of the 256 bits.
 """
 
 from __future__ import annotations
@@ -27,7 +29,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import golay
-from .common import materialize, small_batches, word_blocks
+from .common import materialize, python_workers, word_blocks
 from .components import components
 
 #: Runs up to this long are compared pair by pair; in longer ones a spanning set of links is found instead.
@@ -52,6 +54,9 @@ class Scheme:
     compared: int  # of which so many are compared
     limit: int  # differing bits allowed in those
     tables: tuple[Table, ...]
+    sure: int = 0  # differing bits up to which a pair needs no verification by shingles, if similarity is set
+    loose: int = 0  # and up to which it is worth one
+    similarity: float | None = None
 
 
 def exact_scheme() -> Scheme:
@@ -62,8 +67,10 @@ def similarity_scheme(similarity: float = 0.8, tables: int = 24) -> Scheme:
     """Sets of like size with Jaccard similarity s have cosine 2s/(1+s), and so differ in angle/pi of all bits."""
     words, compared = max(4, (tables + 1) // 2), 4
     share = math.acos(2 * similarity / (1 + similarity)) / math.pi
+    bits = 64 * compared
+    spread = math.sqrt(bits * share * (1 - share))
     own = tuple(Table(t // 2, 32 * (t % 2), 23, 32 * (t % 2) + 23, 9) for t in range(tables))
-    return Scheme(words, compared, int(64 * compared * share), own)
+    return Scheme(words, compared, int(bits * share), own, int(bits * share - 3 * spread), int(bits * share + 2.5 * spread), similarity)
 
 
 def _mixed(h: np.ndarray, j: int) -> np.ndarray:
@@ -177,23 +184,25 @@ def spanning(fp: np.ndarray, limit: int) -> list[tuple[int, int]]:
     return links
 
 
-def _run_links(key: np.ndarray, rep: np.ndarray, fp: np.ndarray, limit: int) -> list[np.ndarray]:
-    """Links (rep, rep) within runs of equal keys."""
+def _run_links(key: np.ndarray, rep: np.ndarray, fp: np.ndarray, scheme: Scheme) -> list[np.ndarray]:
+    """Links (rep, rep, whether sure) within runs of equal keys."""
     starts = np.flatnonzero(np.r_[True, key[1:] != key[:-1]])
     length = np.diff(np.r_[starts, len(key)])
     out = []
     for s, n in zip(starts[length > SHORT_RUN], length[length > SHORT_RUN], strict=True):
-        if found := spanning(fp[s : s + n], limit):
-            i = np.array(found)
-            out.append(rep[s : s + n][i])
+        if found := spanning(fp[s : s + n], scheme.limit):
+            i = rep[s : s + n][np.array(found)]
+            out.append(np.c_[np.sort(i, axis=1), np.ones(len(i), np.int64)])
     short = np.repeat((length > 1) & (length <= SHORT_RUN), length)
     key, rep, fp = key[short], rep[short], fp[short]
+    sure, loose = (scheme.sure, scheme.loose) if scheme.similarity else (scheme.limit, scheme.limit)
     for shift in range(1, SHORT_RUN):
         i = np.flatnonzero(key[shift:] == key[:-shift]) if len(key) > shift else key[:0]
         if not len(i):
             break
-        i = i[_distance(fp[i], fp[i + shift]) <= limit]
-        out.append(np.stack([rep[i], rep[i + shift]], axis=1))
+        d = _distance(fp[i], fp[i + shift])
+        i, d = i[d <= loose], d[d <= loose]
+        out.append(np.c_[np.sort(np.stack([rep[i], rep[i + shift]], axis=1), axis=1), d <= sure])
     return out
 
 
@@ -204,9 +213,9 @@ def _linked(scheme: Scheme):
         held: list[tuple[np.ndarray, ...]] = []
 
         def links(parts: list[tuple[np.ndarray, ...]]) -> Iterator[pa.RecordBatch]:
-            found = _run_links(*(np.concatenate(x) for x in zip(*parts, strict=True)), scheme.limit) if parts else []
-            if found and len(pairs := np.unique(np.sort(np.concatenate(found), axis=1), axis=0)):
-                yield pa.RecordBatch.from_arrays([pa.array(pairs[:, 0]), pa.array(pairs[:, 1])], ["u", "v"])
+            found = _run_links(*(np.concatenate(x) for x in zip(*parts, strict=True)), scheme) if parts else []
+            if found and len(pairs := np.unique(np.concatenate(found), axis=0)):
+                yield pa.RecordBatch.from_arrays([pa.array(pairs[:, 0]), pa.array(pairs[:, 1]), pa.array(pairs[:, 2] > 0)], ["u", "v", "sure"])
 
         for b in batches:
             if not b.num_rows:
@@ -226,6 +235,39 @@ def _linked(scheme: Scheme):
     return run
 
 
+def _sets(k: int):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            found = [np.unique(np.concatenate([*shingle_hashes(t.as_py() or b"", k), np.zeros(0, np.uint64)])).tobytes() for t in b.column(1).cast(pa.binary())]
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(found, pa.binary())], ["id", "shingles"])
+
+    return run
+
+
+def _alike(similarity: float):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            keep = []
+            for x, y in zip(b.column(2), b.column(3), strict=True):
+                p, q = np.frombuffer(x.as_py(), np.uint64), np.frombuffer(y.as_py(), np.uint64)
+                both = len(np.intersect1d(p, q, assume_unique=True))
+                keep.append(both >= similarity * max(1, len(p) + len(q) - both))
+            yield pa.RecordBatch.from_arrays([c.filter(pa.array(keep, pa.bool_())) for c in (b.column(0), b.column(1))], ["u", "v"])
+
+    return run
+
+
+def _verified(links: DataFrame, own: DataFrame, words: int, similarity: float) -> DataFrame:
+    """Of links (u, v, sure), those that are sure and those whose sets of shingles are alike by similarity."""
+    unsure = links.groupBy("u", "v").agg(F.max("sure").alias("sure")).where("not sure").select("u", "v")
+    asked = unsure.select(F.col("u").alias("_asked")).union(unsure.select("v")).distinct()
+    sets = own.join(asked, own["id"] == asked["_asked"]).select("id", "text").mapInArrow(_sets(words), "id long, shingles binary")
+    sets = materialize(sets.groupBy("id").agg(F.max("shingles").alias("shingles")), "shingles")
+    side = lambda c, s: sets.select(F.col("id").alias(c), F.col("shingles").alias(s))
+    both = unsure.join(side("u", "_a"), "u").join(side("v", "_b"), "v").select("u", "v", "_a", "_b")
+    return links.where("sure").select("u", "v").union(both.mapInArrow(_alike(similarity), "u long, v long"))
+
+
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = 3, scheme: Scheme | None = None) -> DataFrame:
     """(id_col: long, fingerprint: hex, component_id: long) for every row of docs, component_id the least id that links reach.
 
@@ -234,12 +276,13 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     repeated ids give a row each. An empty table gives an empty result; other columns of docs are ignored.
     """
     scheme = scheme or exact_scheme()
-    small_batches(docs.sparkSession)
+    python_workers(docs.sparkSession)
     own = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text"))
     sketches = materialize(own.mapInArrow(_sketched(words, scheme.words), "id long, fp binary"), "sketches")
     nodes = sketches.groupBy("fp").agg(F.min("id").alias("rep"))
     keyed = nodes.where("rep is not null").select("rep", "fp").mapInArrow(_keyed(scheme), "key long, rep long, fp binary")
-    links = keyed.repartition("key").sortWithinPartitions("key", "rep").mapInArrow(_linked(scheme), "u long, v long")
+    links = keyed.repartition("key").sortWithinPartitions("key", "rep").mapInArrow(_linked(scheme), "u long, v long, sure boolean")
+    links = _verified(materialize(links, "links"), own, words, scheme.similarity) if scheme.similarity else links.select("u", "v")
     roots = components(links)
     named = nodes.join(roots, nodes["rep"] == roots["node"], "left").select("fp", F.coalesce("root", "rep").alias("component_id"))
     return sketches.join(named, "fp").select(F.col("id").alias(id_col), F.lower(F.hex(F.col("fp").substr(1, 8))).alias("fingerprint"), "component_id")

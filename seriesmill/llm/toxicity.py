@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import materialize, small_batches
+from .common import materialize, python_workers
 
 _STRIP = "\"'`.,;:!?()[]{}<>«»„“”‚‘’…*_~-–—"
 _QUOTES = "\"«»„“”"
@@ -279,7 +279,7 @@ def train(docs: DataFrame, labels: DataFrame, sample_rows: int = 12_000, id_col:
 
 def score(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "text", keep: tuple[str, ...] = ()) -> DataFrame:
     """(id_col, *keep, toxicity: double) for every row; null and empty texts have no hits and score as such."""
-    small_batches(docs.sparkSession)
+    python_workers(docs.sparkSession)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         matcher = Matcher(list(model.terms))
@@ -295,7 +295,7 @@ def score(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str =
 
 def without_toxic(docs: DataFrame, model: Model, threshold: float = 0.3, text_col: str = "text") -> DataFrame:
     """docs without the rows that score threshold or more; columns stay as they are."""
-    small_batches(docs.sparkSession)
+    python_workers(docs.sparkSession)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         matcher = Matcher(list(model.terms))
