@@ -258,8 +258,8 @@ _XP = E.Parameters((0.5,), (0.3,), (0.1,), (0.2,), 100.0, 0.6, (0.25,))
 _U2 = _U1.replace("x - 100", "x - 0.25::DOUBLE * length(s) - 100")
 _register("armax_garch", "px", lambda d: E.residuals(d.withColumn("z", F.length("s").cast("double")), PX, _XP, ("z",)), ("u", "h"), _H1.replace(_U1, _U2))
 _register(
-    "loglikelihood", "px", lambda d: X.loglikelihood(E.residuals(d, PX, _GP), PX, "u", "h"),
-    sql=f"SELECT s, sum(ln(h * h) + power(u / h, 2) + ln(2 * pi())) / 2 AS loglikelihood FROM ({_H1}) GROUP BY s", scalar=True,
+    "loglikelihood", "px", lambda d: X.loglikelihood(E.residuals(d, PX, _GP), PX, "u", "h").withColumn("loglikelihood", F.col("loglikelihood") / 1e9),
+    sql=f"SELECT s, sum(ln(h * h) + power(u / h, 2) + ln(2 * pi())) / 2 / 1e9 AS loglikelihood FROM ({_H1}) GROUP BY s", scalar=True,
 )
 
 
