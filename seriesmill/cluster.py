@@ -1,12 +1,13 @@
-"""Makes this package importable in the Python workers of a session, wherever the session was started."""
+"""What depends on the cluster: shipping this package to Python workers, and tables in the folder that all executors share."""
 
 from __future__ import annotations
 
 import shutil
 import tempfile
+import uuid
 from pathlib import Path
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 _shipped: set[str] = set()
 
@@ -24,3 +25,35 @@ def ship(spark: SparkSession) -> None:
             own = tempfile.mkdtemp(prefix="seriesmill-code-")
             context.addPyFile(shutil.make_archive(f"{own}/{package.name}", "zip", copy.parent))
     _shipped.add(context.applicationId)
+
+
+def shared_dir(spark: SparkSession) -> str:
+    """The folder that all executors share, from spark.checkpoint.dir; local sessions without one get a temporary folder."""
+    base = spark.conf.get("spark.checkpoint.dir", None)
+    if not base:
+        known = spark.sparkContext._jsc.sc().getCheckpointDir()
+        base = known.get() if known.isDefined() else None
+    if not base:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
+        base = "file://" + tempfile.mkdtemp(prefix="seriesmill-")
+        spark.sparkContext.setCheckpointDir(base)
+    return base.rstrip("/")
+
+
+def materialize(df: DataFrame, name: str) -> DataFrame:
+    """df written as Parquet in the shared folder and read again: cuts lineage and outlives any executor."""
+    spark = df.sparkSession
+    path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out._seriesmill_path = path
+    return out
+
+
+def discard(df: DataFrame) -> None:
+    """Deletes the files behind a materialised table that nothing will read again."""
+    spark, path = df.sparkSession, getattr(df, "_seriesmill_path", None)
+    if path:
+        where = spark._jvm.org.apache.hadoop.fs.Path(path)
+        where.getFileSystem(spark._jsc.hadoopConfiguration()).delete(where, True)

@@ -11,6 +11,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..operators import allocation as A
+from ..operators import blocks as B
 from ..operators import econometrics as E
 from ..operators import indicators as I
 from ..operators import metrics as X
@@ -106,6 +107,18 @@ _rolling("dead_zone_sign", "ev", lambda d: M.dead_zone_sign(d, EV, 50.0, out="de
 _rolling("prob_signal", "ev", lambda d: M.signal(d, EV, "prob", F.col("x") / 100, "prob_signal"), "CASE WHEN x / 100 < 0.5 THEN -1.0 ELSE 1.0 END", None)
 _rolling("ffill", "ev", lambda d: M.ffill(d, EV, F.when(F.col("event_id") % 3 > 0, F.col("x"))), "last_value(CASE WHEN event_id % 3 > 0 THEN x END IGNORE NULLS) OVER {u}", None)
 
+# The same on blocks: a long series isn't one task
+
+
+def _on_blocks(name: str, w: int, make: Callable[[DataFrame, SeriesSpec], DataFrame], like: str) -> None:
+    _register(name, "ev", lambda d: B.blocked(d, EV, w, make, 32))
+    SQL[name] = SQL[like].replace(f"AS {like} ", f"AS {name} ").replace(f"round({like},", f"round({name},")
+
+
+_on_blocks("sma_blocked", 20, lambda d, s: M.sma(d, s, 20, out="sma_blocked"), "sma")
+_on_blocks("wmstd_blocked", 20, lambda d, s: M.wmstd(d, s, 20, out="wmstd_blocked"), "wmstd")
+_on_blocks("ema_blocked", B.reach(0.94), lambda d, s: M.ema(d, s, 0.94, out="ema_blocked"), "ema")
+
 # Indicators
 
 _register(

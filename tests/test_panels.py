@@ -184,3 +184,21 @@ def test_streaming_state(spark, tmp_path):
     assert got == pytest.approx(want)
     batch = rows.withColumn("ts", (F.col("t") * 600).cast("timestamp"))
     assert windowed(batch, "s", "ts", "x").count() == 7
+
+
+@pytest.mark.parametrize("blocks,w", [(1, 5), (7, 5), (40, 30), (3, 1)])
+def test_blocks_equal_whole_series(spark, blocks, w):
+    from seriesmill.operators import blocks as B
+    from seriesmill.operators import moments as M
+
+    rng = np.random.default_rng(blocks)
+    rows = [(s, t, float(rng.normal())) for s, n in (("a", 150), ("b", 3), ("c", 1), (None, 20)) for t in range(n)]
+    d = spark.createDataFrame(rows, "s string, t int, x double")
+    op = lambda df, spec: M.roll_max(M.sma(df, spec, w, out="m"), spec, w, out="h")
+    got = B.blocked(d, SPEC, w, op, blocks)
+    assert got.columns == [*d.columns, "m", "h"]
+    key = lambda r: (str(r[0]), r[1])
+    assert [tuple(r) for r in sorted(got.collect(), key=key)] == [tuple(r) for r in sorted(op(d, SPEC).collect(), key=key)]
+    e = B.blocked(d, SPEC, B.reach(0.5), lambda df, spec: M.ema(df, spec, 0.5, out="e"), blocks)
+    want = [r["e"] for r in sorted(M.ema(d, SPEC, 0.5, out="e").collect(), key=key)]
+    assert [r["e"] for r in sorted(e.collect(), key=key)] == pytest.approx(want, rel=1e-12)
