@@ -3,13 +3,11 @@
 from __future__ import annotations
 
 import re
-import tempfile
-import uuid
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, SparkSession
 from pyspark.sql import functions as F
 
-from ..cluster import ship
+from ..cluster import discard, materialize, shared_dir, ship
 
 #: The characters that separate words: space and the ASCII controls 9 to 13.
 SPACE_CLASS = r"\x20\x09-\x0D"
@@ -17,38 +15,6 @@ SPACES = " \t\n\x0b\x0c\r"
 _SPACE = re.compile(rb"[\x20\x09-\x0D]")
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that all executors share, from spark.checkpoint.dir; local sessions without one get a temporary folder."""
-    base = spark.conf.get("spark.checkpoint.dir", None)
-    if not base:
-        known = spark.sparkContext._jsc.sc().getCheckpointDir()
-        base = known.get() if known.isDefined() else None
-    if not base:
-        if not spark.sparkContext.master.startswith("local"):
-            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
-        base = "file://" + tempfile.mkdtemp(prefix="seriesmill-")
-        spark.sparkContext.setCheckpointDir(base)
-    return base.rstrip("/")
-
-
-def materialize(df: DataFrame, name: str) -> DataFrame:
-    """df written as Parquet in the shared folder and read again: cuts lineage and outlives any executor."""
-    spark = df.sparkSession
-    path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    out = spark.read.schema(df.schema).parquet(path)
-    out._seriesmill_path = path
-    return out
-
-
-def discard(df: DataFrame) -> None:
-    """Deletes the files behind a materialised table that nothing will read again."""
-    spark, path = df.sparkSession, getattr(df, "_seriesmill_path", None)
-    if path:
-        where = spark._jvm.org.apache.hadoop.fs.Path(path)
-        where.getFileSystem(spark._jsc.hadoopConfiguration()).delete(where, True)
-
-
 def python_workers(spark: SparkSession, rows: int = 1000) -> None:
     """Sends the package to the Python workers and bounds Arrow batches, which hold whole texts, so that memory stays small."""
     ship(spark)
