@@ -80,7 +80,7 @@ def op6_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
 
     pages = spark.read.parquet(f"{sf_dir}/pages.parquet").select("page_id", "url")
     fetched = pages.withColumn("fetched", F.expr("date_add(date'2024-01-01', cast(page_id % 366 as int))"))
-    return filter_urls(fetched, _entries(pages))
+    return filter_urls(fetched, _entries(pages)).withColumn("fetched", F.col("fetched").cast("string"))
 
 
 _OP6_SQL = r"""
@@ -104,7 +104,7 @@ spans AS (
 ), best AS (
   SELECT page_id, url, fetched, count(*) AS n, min(struct_pack(n := -length(key), k := key)).k AS matched FROM hits GROUP BY ALL
 )
-SELECT p.page_id, p.url, p.fetched, coalesce(b.n, 0) > 0 AS blocked, coalesce(b.n, 0) AS n_matches, b.matched
+SELECT p.page_id, p.url, CAST(p.fetched AS VARCHAR) AS fetched, coalesce(b.n, 0) > 0 AS blocked, coalesce(b.n, 0) AS n_matches, b.matched
 FROM p LEFT JOIN best b ON p.page_id = b.page_id AND p.url = b.url AND p.fetched = b.fetched
 """
 
