@@ -40,7 +40,7 @@ def prices(spark: SparkSession, sf_dir: str) -> DataFrame:
 _EV = "ev AS (SELECT event_id, event_type AS s, ts, value AS x FROM events)"
 _PX = "px AS (SELECT o_orderpriority AS s, o_orderdate AS t, round(avg(o_totalprice), 4) AS x FROM orders GROUP BY ALL)"
 _BY = {"ev": "PARTITION BY s ORDER BY ts, event_id", "px": "PARTITION BY s ORDER BY t"}
-_ID = {"ev": "event_id", "px": "s, t"}
+_DAY = "CAST(CAST(t AS DATE) AS VARCHAR) AS t"
 
 
 def rounded(c: Column | str) -> Column:
@@ -48,6 +48,11 @@ def rounded(c: Column | str) -> Column:
     return F.round(c, 6) + 0.0
 
 
+def day(name: str) -> Column:
+    """A day as text, which reads the same wherever it is compared."""
+    return F.col(name).cast("date").cast("string").alias(name)
+
+
 def _sql_window(base: str, w: int | None) -> str:
     frame = "UNBOUNDED" if w is None else str(w - 1)
     return f"({_BY[base]} ROWS BETWEEN {frame} PRECEDING AND CURRENT ROW)"
@@ -56,8 +61,8 @@ def _sql_window(base: str, w: int | None) -> str:
 def _register(name: str, base: str, make: Callable[[DataFrame], DataFrame], outs: tuple[str, ...] = (), sql: str | None = None, scalar: bool = False) -> None:
     """make adds the columns outs to a base; sql: the SQL after `WITH <base>`, which names the same columns unrounded."""
     outs = outs or (name,)
-    load, keep = (events, ("event_id",)) if base == "ev" else (prices, ("s", "t"))
-    keep = ("s",) if scalar else keep
+    load = events if base == "ev" else prices
+    keep = ["s"] if scalar else ["event_id"] if base == "ev" else ["s", day("t")]
 
     def query(spark: SparkSession, sf_dir: str) -> DataFrame:
         return make(load(spark, sf_dir)).select(*keep, *[rounded(c).alias(c) for c in outs])
@@ -66,7 +71,8 @@ def _register(name: str, base: str, make: Callable[[DataFrame], DataFrame], outs
     QUERIES[name] = query
     if sql:
         cte = _EV if base == "ev" else _PX
-        cols = ", ".join([*keep, *[f"round({c}, 6) + 0.0 AS {c}" for c in outs]])
+        named = ["s"] if scalar else ["event_id"] if base == "ev" else ["s", _DAY]
+        cols = ", ".join([*named, *[f"round({c}, 6) + 0.0 AS {c}" for c in outs]])
         SQL[name] = f"WITH {cte}, res AS ({sql}) SELECT {cols} FROM res"
 
 
@@ -326,11 +332,11 @@ QUERIES |= {m.lower(): _allocation(m) for m in ("ERC", "HRP", "MDP", "MVP", "MVP
 
 def rolling_allocation(spark: SparkSession, sf_dir: str) -> DataFrame:
     portfolio, _ = A.rolling_allocation(prices(spark, sf_dir), PX, "ERC", 252, 63)
-    return portfolio.select("t", rounded("portfolio").alias("portfolio"))
+    return portfolio.select(day("t"), rounded("portfolio").alias("portfolio"))
 
 
 def rolling_weights(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return A.rolling_allocation(prices(spark, sf_dir), PX, "HRP", 252, 63)[1].select("win", "t", "s", rounded("weight").alias("weight"))
+    return A.rolling_allocation(prices(spark, sf_dir), PX, "HRP", 252, 63)[1].select("win", day("t"), "s", rounded("weight").alias("weight"))
 
 
 # Models and reports
@@ -349,11 +355,11 @@ def _predictions(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def walk_forward(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return K.performance(_predictions(spark, sf_dir), PX).select("s", "t", "model", "win", rounded("pred").alias("pred"), rounded("perf").alias("perf"))
+    return K.performance(_predictions(spark, sf_dir), PX).select("s", day("t"), "model", "win", rounded("pred").alias("pred"), rounded("perf").alias("perf"))
 
 
 def ensemble_best(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return K.ensemble(_predictions(spark, sf_dir), PX, "bests", 2).select("s", "t", rounded("pred").alias("pred"))
+    return K.ensemble(_predictions(spark, sf_dir), PX, "bests", 2).select("s", day("t"), rounded("pred").alias("pred"))
 
 
 def walk_forward_losses(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -371,7 +377,7 @@ def index(spark: SparkSession, sf_dir: str) -> DataFrame:
 def backtest(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Curves of the underlying, the strategy and the volatility-scaled strategy: the flagship."""
     d = R.backtest(with_signal(index(spark, sf_dir)), PX, "sig", 2, 0.0001)
-    return d.select("s", "t", *[(F.round(c, 4) + 0.0).alias(c) for c in _CURVES])
+    return d.select("s", day("t"), *[(F.round(c, 4) + 0.0).alias(c) for c in _CURVES])
 
 
 def key_figures(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -397,4 +403,4 @@ def _curve_sql(p: str) -> str:
 
 _VOLS = ", ".join(f"sqrt(2.0) * stddev_pop(l_{k}) OVER {_sql_window('px', 252)} AS v_{k}" for k in ("idx", "est", "iso"))
 _LOGS = ", ".join(f"coalesce(ln(perf_{k} / lag(perf_{k}) OVER ({_BY['px']})), 0) AS l_{k}" for k in ("idx", "est", "iso"))
-SQL["backtest"] = f"{_BT}, l AS (SELECT *, {_LOGS} FROM q), v AS (SELECT *, {_VOLS} FROM l) SELECT s, t, {', '.join(f'round({c}, 4) + 0.0 AS {c}' for c in _CURVES[:3])}, {', '.join(_curve_sql(c) for c in _CURVES[:3])} FROM v"
+SQL["backtest"] = f"{_BT}, l AS (SELECT *, {_LOGS} FROM q), v AS (SELECT *, {_VOLS} FROM l) SELECT s, {_DAY}, {', '.join(f'round({c}, 4) + 0.0 AS {c}' for c in _CURVES[:3])}, {', '.join(_curve_sql(c) for c in _CURVES[:3])} FROM v"
