@@ -370,8 +370,10 @@ _CURVES = ("perf_idx", "perf_est", "perf_iso", "drawdown_idx", "drawdown_est", "
 
 
 def index(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The prices smoothed over 60 rows: their daily jumps are so wide that a short position would be ruined in a day."""
-    return M.sma(prices(spark, sf_dir), PX, 60, out="m").select("s", "t", F.round("m", 4).alias("x"))
+    """The prices smoothed over 61 rows, from the 61st on: their daily jumps are so wide that a short position would be ruined
+    in a day. A mean of an odd number of rounded values is never halfway between two others."""
+    d = M.sma(prices(spark, sf_dir), PX, 61, out="m").withColumn("n", F.count("x").over(PX.last(61)))
+    return d.where("n = 61").select("s", "t", F.round("m", 4).alias("x"))
 
 
 def backtest(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -386,7 +388,7 @@ def key_figures(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES |= {f.__name__: f for f in (rolling_allocation, rolling_weights, walk_forward, walk_forward_losses, ensemble_best, backtest, key_figures)}
 
-_INDEX = f"{_PX.replace('px AS', 'raw AS', 1)}, px AS (SELECT s, t, round(avg(x) OVER {_sql_window('px', 60)}, 4) AS x FROM raw)"
+_INDEX = f"{_PX.replace('px AS', 'raw AS', 1)}, px AS (SELECT s, t, round(avg(x) OVER w, 4) AS x FROM raw WINDOW w AS {_sql_window('px', 61)} QUALIFY count(x) OVER w = 61)"
 _BT = f"""WITH {_INDEX}, {_SIG},
 a AS (SELECT *, lag(sig) OVER ({_BY['px']}) AS b FROM {_LOGRET}),
 p AS (SELECT *, 100 * exp(sum(r) OVER {_U}) AS perf_idx, 100 * product((exp(r) - 1 - 0.0001::DOUBLE * coalesce(sig - b, 0)) * sig + 1) OVER {_U} AS perf_est FROM a),
