@@ -21,6 +21,10 @@ Knots = Sequence[tuple[float, float]]
 SCHEDULES: tuple[Knots, ...] = (((0.0, 1.5), (1.0, 0.5)), ((0.0, 1.0), (1.0, 1.0)), ((0.0, 0.5), (0.5, 1.0), (1.0, 1.5)))
 
 
+#: A table of sources is sent to all executors if it has no more rows than this, by count; else it is joined like any other.
+SMALL_TABLE = 10_000
+
+
 def training_time(share: Column, knots: Knots) -> Column:
     """The time by which a source has given this share of its words: the inverse of its schedule's integral.
 
@@ -68,14 +72,15 @@ def mix(rows: DataFrame, sized: DataFrame, id_col: str, source_col: str, weights
     digits, n = 0, sized.count()
     while n > rows_per_bucket * 16**digits and digits < 12:
         digits += 1
-    targets = source_targets(sized, weights, cap)
+    targets = materialize(source_targets(sized, weights, cap), "targets")
+    few = F.broadcast if targets.count() <= SMALL_TABLE else lambda t: t
     bucket = F.substring(_order_key("id"), 1, digits)
-    keyed = sized.join(targets.select("sid", F.col("source").alias("s")), sized["source"].eqNullSafe(F.col("s")))
+    keyed = sized.join(few(targets.select("sid", F.col("source").alias("s"))), sized["source"].eqNullSafe(F.col("s")))
     sums = keyed.groupBy("sid", bucket.alias("b")).agg(F.sum("size").alias("w"))
     ahead = F.coalesce(F.sum("w").over(Window.partitionBy("sid").orderBy("b").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
     sums = sums.select(F.col("sid").alias("_mix_s"), F.col("b").alias("_mix_b"), ahead.alias("_mix_ahead"))
     t = targets.select(F.col("source").alias("_mix_source"), F.col("sid").alias("_mix_sid"), F.col("source_size").alias("_mix_source_size"), F.col("target").alias("_mix_target"))
-    all_rows = rows.join(t, rows[source_col].eqNullSafe(t["_mix_source"])).withColumn("_mix_key", _order_key(id_col)).withColumn("_mix_bucket", F.substring("_mix_key", 1, digits))
+    all_rows = rows.join(few(t), rows[source_col].eqNullSafe(t["_mix_source"])).withColumn("_mix_key", _order_key(id_col)).withColumn("_mix_bucket", F.substring("_mix_key", 1, digits))
     all_rows = all_rows.join(sums, (F.col("_mix_sid") == F.col("_mix_s")) & (F.col("_mix_bucket") == F.col("_mix_b")))
     inside = Window.partitionBy("_mix_sid", "_mix_bucket").orderBy("_mix_key", id_col, "_mix_size").rowsBetween(Window.unboundedPreceding, -1)
     need = F.floor(F.col("_mix_target") + 0.5)
