@@ -1,10 +1,15 @@
 """Personal data: base spans against Python's patterns, the added ones, redaction."""
 
+import itertools
+import random
 import re
+from collections import Counter
 
+import numpy as np
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
+from pyspark.sql import functions as F
 
 from seriesmill.llm import pii
 
@@ -81,18 +86,89 @@ def test_loose_spans_are_added_and_base_ones_stay(spark):
         assert [s["start"] for s in r["spans"]] == sorted(s["start"] for s in r["spans"])
 
 
-def test_reliabilities():
-    patterns = [((1, 1, 0), 90), ((1, -1, 0), 10), ((-1, -1, 0), 80), ((-1, 1, 0), 5), ((0, 0, 1), 3)]
-    prior, rel, post = pii.reliabilities(patterns)
-    assert 0.3 < prior < 0.7 and rel[0] > 0.8 and post[0] > 0.9 > 0.1 > post[2]
-    w = pii.logistic(patterns, post)
-    assert w[1] > 0
+def test_a_few_good_labelers_outweigh_a_majority_of_weak_ones():
+    rng = np.random.default_rng(0)
+    truth = rng.random(4000) < 0.5
+    right = rng.random((4000, 5)) < [0.55, 0.55, 0.55, 0.93, 0.93]
+    votes = np.where(right == truth[:, None], 1, -1)
+    patterns = sorted(Counter(map(tuple, votes.tolist())).items())
+    _, shares, post = pii.reliabilities(patterns)
+    found = dict(zip((v for v, _ in patterns), post, strict=True))
+    assert found[1, 1, 1, -1, -1] < 0.2 and found[-1, -1, -1, 1, 1] > 0.8
+    assert shares[3, 1, 2] > 0.88 and shares[0, 1, 2] < 0.65
+
+
+LOOSE_TRUE = [
+    ("email", "write to {a}{n} (at) site{n} (dot) com please"),
+    ("email", "mail: {a}.{n} [at] mail.example [dot] org, thanks"),
+    ("phone", "call me at (212) 555-{n} tonight"),
+    ("phone", "phone: 0{k} 2555 {n}, office"),
+    ("phone", "Tel. 415-555-{n} or"),
+    ("ip", "server 2001:db8:0:0:0:ff00:{k}:{n} is up"),
+    ("card", "visa card {card} expires"),
+    ("card", "paid with {card} yesterday"),
+]
+LOOSE_FALSE = [
+    "meet at noon.Then we {a} on",
+    "it was looked at once.Nothing {a}",
+    "released on 2024-01-1{d} by {a}",
+    "since 1{d}.03.2021 the {a}",
+    "at 12:3{d}:45 the {a}",
+    "version 1.2.{n}.9999 of {a}",
+    "order 4{n}.1234.1234.123{x} shipped",
+    "isbn 978-3-16-14841{d}-0 by {a}",
+    "a sum of 12.345.67{d} for {a}",
+    "serial 9{n}1234567890{n} of {a}",
+]
+
+
+def filled(template, i, rng):
+    digits = [4, *(rng.randrange(10) for _ in range(14))]
+    last = next(d for d in range(10) if luhn("".join(map(str, (*digits, d)))))
+    number = "".join(map(str, (*digits, last)))
+    card = ".".join(number[k : k + 4] for k in range(0, 16, 4))
+    bare = f"4{1000 + i}123412341" + "23"
+    x = next(d for d in range(10) if not luhn(f"{bare[:13]}{d}"))
+    return template.format(a=rng.choice(("anna", "joe", "marie", "karl")), n=1000 + i, k=30 + i % 60, d=i % 9, x=x, card=card)
+
+
+def planted_spans(rng, each=40):
+    """(text, kind or None) with one loose span each, true or not."""
+    out = [(filled(t, i, rng), kind) for kind, t in LOOSE_TRUE for i in range(each)] + [(filled(t, i, rng), None) for t in LOOSE_FALSE for i in range(each)]
+    base = [(f"reach {'abcdef'[i % 6]}{i}@mail{i}.example.com or +1 (212) 555-{1000 + i} from 10.0.{i % 250}.7, card 4111 1111 1111 1111", "base") for i in range(each)]
+    return out + base
+
+
+def test_added_spans_of_planted_texts(spark):
+    rows = planted_spans(random.Random(3))
+    docs = spark.createDataFrame([(i, t) for i, (t, _) in enumerate(rows)], "doc_id long, text string")
+    got = {r["doc_id"]: {pii.KINDS[s["kind"]] for s in r["spans"] if not s["base"]} for r in pii.find_personal_data(docs).collect()}
+    met = {r["doc_id"]: r["n"] for r in docs.select("doc_id", F.size(F.filter(pii.candidates(F.col("text")), lambda x: ~x["base"])).alias("n")).collect()}
+    true = [i for i, (_, k) in enumerate(rows) if k and k != "base"]
+    false = [i for i, (_, k) in enumerate(rows) if k is None]
+    caught = sum(rows[i][1] in got[i] for i in true)
+    wrong = sum(bool(got[i]) for i in false)
+    print("recall", caught / len(true), "precision", caught / (caught + wrong), "decoys met", sum(met[i] > 0 for i in false), "of", len(false))
+    assert caught >= 0.9 * len(true) and caught >= 0.9 * (caught + wrong)
+    assert sum(met[i] > 0 for i in false) > 0.5 * len(false)
+
+
+def test_very_long_runs(spark):
+    emails = " ".join(f"a{i}@b{i}.cc" for i in range(100_000))
+    texts = ["7" * 10**6, "x@" + "a." * 10**5 + "b", emails, "1 " * 10**6, "1." * 10**6, "+1" + " " * 10**6, "é" * 10**6 + " 1.2.3.4", "ab at " * 10**5 + "c dot d", "0:" * 10**6, "12-34-" * 10**5]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(len(texts))
+    got = base_spans(spark, texts)  # as they must be: the plain patterns take quadratic time on these
+    starts = [0, *itertools.accumulate(len(x) + 1 for x in emails.split(" "))][:-1]
+    assert got[2] == [f"email:{at}:{at + len(x)}" for at, x in zip(starts, emails.split(" "), strict=True)]
+    assert got[4] == [f"ip:{at}:{at + 7}" for at in range(0, 2 * 10**6, 8)]
+    assert got[1] == [f"email:0:{len(texts[1])}"] and got[6] == [f"ip:{10**6 + 1}:{10**6 + 8}"]
+    assert not any(got[i] for i in (0, 3, 5, 7, 8, 9))
+    new = {r["doc_id"]: r["text"] for r in pii.redact(docs, length_col=None).collect()}
+    assert new[2] == " ".join(["<EMAIL>"] * 100_000) and new[1] == "<EMAIL>" and new[6] == "é" * 10**6 + " <IP>"
 
 
 @pytest.mark.parametrize("digits,ok", [("4111111111111111", True), ("4111111111111112", False), ("0000000000000", True)])
 def test_luhn(spark, digits, ok):
-    from pyspark.sql import functions as F
-
     assert spark.range(1).select(pii.luhn(F.lit(digits))).first()[0] == ok
 
 
