@@ -86,7 +86,7 @@ class Vocabulary:
         with open(path, encoding="utf-8") as f:
             spec = json.load(f)
         special = {t["content"] for t in spec.get("added_tokens", [])}
-        self.encode = encoder(path)
+        self.encode = encoder(path, True)
         self.tokens = {i: t.encode() if t in special else bytes(alphabet[c] for c in t) for t, i in spec["model"]["vocab"].items()}
         size = max(self.tokens) + 1
         self.length = np.array([len(self.tokens.get(i, b"")) for i in range(size)], np.int64)

@@ -10,6 +10,7 @@ the tree stays bounded by the number of leaves.
 from __future__ import annotations
 
 import json
+import re
 import zlib
 from collections.abc import Iterable, Iterator
 from functools import lru_cache
@@ -35,22 +36,24 @@ def _byte_alphabet() -> dict[str, int]:
 
 
 @lru_cache(maxsize=2)
-def encoder(path: str):
-    """texts -> lists of ids of the tokenizer file at path, special tokens' strings taken as ordinary text.
+def encoder(path: str, plain_specials: bool = False):
+    """texts -> lists of ids as `tokenizers` gives them for the file at path without adding special tokens.
 
+    Strings of special tokens within a text get those tokens' ids, as there; with plain_specials they are ordinary text.
     For byte-level BPE whose ids are the order of its merges, tiktoken gives the same ids several times faster; other
-    files, and texts that it can't take, go through tokenizers.
+    files, texts with such strings, and texts that it can't take go through tokenizers.
     """
     from tokenizers import Tokenizer
 
     plain = Tokenizer.from_file(path)
-    plain.encode_special_tokens = True
+    plain.encode_special_tokens = plain_specials
     with open(path, encoding="utf-8") as f:
         spec = json.load(f)
     model, pre = spec["model"], spec.get("pre_tokenizer") or {}
     vocab, alphabet = model.get("vocab", {}), _byte_alphabet()
     pairs = [tuple(m) if isinstance(m, list) else tuple(m.split(" ")) for m in model.get("merges", [])]
     special = {t["content"] for t in spec.get("added_tokens", [])}
+    met = re.compile("|".join(re.escape(t) for t in sorted(special))) if special and not plain_specials else None
     ordered = all(vocab.get(a + b) == 256 + i for i, (a, b) in enumerate(pairs))
     quick = None
     if model.get("type") == "BPE" and pre.get("type") == "ByteLevel" and pre.get("use_regex") and not pre.get("add_prefix_space") and not spec.get("normalizer") and ordered and not model.get("ignore_merges"):
@@ -61,13 +64,12 @@ def encoder(path: str):
             quick = tiktoken.Encoding("own", pat_str=SPLIT, mergeable_ranks=ranks, special_tokens={})
 
     def encode(text: str) -> list[int]:
-        if quick is not None:
+        if quick is not None and not (met and met.search(text)):
             try:
                 return quick.encode_ordinary(text)
-            except (KeyboardInterrupt, SystemExit):
-                raise
-            except BaseException:  # the library panics on texts beyond its limits  # noqa: BLE001
-                pass
+            except BaseException as e:  # on texts beyond its limits the library raises an exception that isn't exported
+                if type(e).__name__ != "PanicException":
+                    raise
         return plain.encode(text, add_special_tokens=False).ids
 
     return encode
@@ -146,6 +148,10 @@ def useful(fills: np.ndarray, capacity: int, full: float, nodes: int) -> np.ndar
     return up
 
 
+#: Columns that placing adds for itself; a table that has one of these names keeps its own column.
+_BIN, _OFFSET, _FILL, _UP, _NODE = "_pack_bin", "_pack_offset", "_pack_fill", "_pack_up", "_pack_node"
+
+
 def _leaf(capacity: int, full: float, leaves: int):
     """A partition is a leaf: all its pieces are placed; bin ids are unique over leaves."""
 
@@ -158,9 +164,9 @@ def _leaf(capacity: int, full: float, leaves: int):
         k = TaskContext.get().partitionId()
         bins, offsets, fills = (np.array(x, np.int64) for x in best_fit(t["length"].to_pylist(), capacity))
         up = useful(fills, capacity, full, leaves)
-        t = t.append_column("bin", pa.array((np.int64(k) << 32) + bins)).append_column("offset", pa.array(offsets))
-        t = t.append_column("fill", pa.array(fills[bins])).append_column("up", pa.array(up[bins]))
-        t = t.append_column("node", pa.array(np.full(len(bins), k, np.int64)))
+        t = t.append_column(_BIN, pa.array((np.int64(k) << 32) + bins)).append_column(_OFFSET, pa.array(offsets))
+        t = t.append_column(_FILL, pa.array(fills[bins])).append_column(_UP, pa.array(up[bins]))
+        t = t.append_column(_NODE, pa.array(np.full(len(bins), k, np.int64)))
         yield from t.combine_chunks().to_batches(max_chunksize=50_000)
 
     return run
@@ -186,16 +192,20 @@ def _merge(capacity: int, full: float, nodes: int):
 def pack(pieces: DataFrame, capacity: int = 2048, full: float = 0.98, rows_per_leaf: int = 65536, fan_in: int = 8) -> DataFrame:
     """pieces with sequence_id: long and offset: long: sequences of at most capacity, gapless from offset 0.
 
-    pieces must be materialised, with a length from 1 to capacity. Any rows may repeat; an empty table gives an empty result.
+    pieces must be materialised, with a length from 1 to capacity. Any rows may repeat and ids may be null; an empty table
+    gives an empty result. Other columns stay, whatever their names, but for sequence_id and offset, which are replaced.
     Leaves are dealt round-robin, so no key can swell one, and hold about rows_per_leaf rows each.
     """
-    spark, columns = pieces.sparkSession, pieces.columns
+    columns = [c for c in pieces.columns if c not in ("sequence_id", "offset")]
+    if missing := [n for n in ("length", "doc_id", "piece", "ids_crc32") if n not in columns]:
+        raise ValueError(f"pieces have no columns {missing}")
+    renamed = {c: f"_own{i}" for i, c in enumerate(columns) if c.startswith(("_pack_", "_own"))}
+    rows = pieces.select(*[F.col(f"`{c}`").alias(renamed.get(c, c)) for c in columns])
+    back = [F.col(f"`{renamed.get(c, c)}`").alias(c) for c in columns]
     leaves = max(1, -(-pieces.count() // rows_per_leaf))
-    names = "length", "doc_id", "piece", "ids_crc32"
-    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in pieces.schema) + ", bin long, offset long, fill long, up boolean, node long"
-    assert all(n in columns for n in names)
-    placed = materialize(pieces.repartition(leaves).mapInArrow(_leaf(capacity, full, leaves), schema), "placed")
-    carried = placed.where("up and offset = 0").select("bin", "fill", "node")
+    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema) + f", {_BIN} long, {_OFFSET} long, {_FILL} long, {_UP} boolean, {_NODE} long"
+    placed = materialize(rows.repartition(leaves).mapInArrow(_leaf(capacity, full, leaves), schema), "placed")
+    carried = placed.where(f"{_UP} and {_OFFSET} = 0").select(F.col(_BIN).alias("bin"), F.col(_FILL).alias("fill"), F.col(_NODE).alias("node"))
     moves = None
     while leaves > 1:
         leaves = -(-leaves // fan_in)
@@ -209,11 +219,16 @@ def pack(pieces: DataFrame, capacity: int = 2048, full: float = 0.98, rows_per_l
             moves = now
         carried = merged.where("up and bin = target").select("bin", "fill", "node")
     if moves is None:
-        return placed.select(*columns, F.col("bin").alias("sequence_id"), "offset")
-    moves = moves.select(F.col("bin").alias("_bin"), "target", "shift")
-    return placed.join(moves, placed["bin"] == moves["_bin"], "left").select(*columns, F.coalesce("target", "bin").alias("sequence_id"), (F.col("offset") + F.coalesce("shift", F.lit(0))).alias("offset"))
+        return placed.select(*back, F.col(_BIN).alias("sequence_id"), F.col(_OFFSET).alias("offset"))
+    moves = moves.select(F.col("bin").alias("_pack_from"), F.col("target").alias("_pack_to"), F.col("shift").alias("_pack_shift"))
+    placed = placed.join(moves, placed[_BIN] == moves["_pack_from"], "left")
+    return placed.select(*back, F.coalesce("_pack_to", _BIN).alias("sequence_id"), (F.col(_OFFSET) + F.coalesce("_pack_shift", F.lit(0))).alias("offset"))
 
 
 def pack_documents(docs: DataFrame, tokenizer_path: str, limit: int = 2048, end_id: int = 0) -> DataFrame:
-    """doc_id, piece, start, length, ids_crc32, sequence_id, offset for all pieces of all documents; see token_pieces and pack."""
+    """doc_id, piece, start, length, ids_crc32, sequence_id, offset for all pieces of all documents; see token_pieces and pack.
+
+    A null text counts as empty: one piece, the end id. Rows with a null id are packed like others; rows that repeat an id
+    are packed each. Other columns are ignored; an empty table gives an empty result.
+    """
     return pack(materialize(token_pieces(docs, tokenizer_path, limit, end_id), "pieces"), limit)

@@ -15,15 +15,21 @@ from seriesmill.llm import packing
 PATH = public_tokenizers.path("byte_bpe_50k.json")
 
 
-def plain():
+def plain(specials_as_text=False):
     t = Tokenizer.from_file(PATH)
-    t.encode_special_tokens = True
+    if specials_as_text:
+        t.encode_special_tokens = True
     return lambda s: t.encode(s, add_special_tokens=False).ids
 
 
 def test_ids_equal_the_tokenizers(sample):
     encode, want = packing.encoder(PATH), plain()
     texts = [r["text"] for r in sample.collect()] + ["", " ", "a" * 3000, "<|endoftext|>x", "日本語　🙂́", "\x02\x03\n\n  x", "don't WE'LL 12,345"]
+    texts += ["a<|endoftext|>b", "<|endoftext|><|endoftext|>", "x <|endoftext| > y", "end <|endoftext|>"]
+    for t in texts:
+        assert encode(t) == want(t)
+    assert encode("a<|endoftext|>b") == [64, 50256, 65]
+    encode, want = packing.encoder(PATH, True), plain(True)
     for t in texts:
         assert encode(t) == want(t)
 
@@ -115,3 +121,17 @@ def test_awkward_rows(awkward, empty):
     assert out.where("doc_id <= 2").agg(F.max("length")).first()[0] == 1
     check(out, 2048)
     assert packing.pack_documents(empty, PATH).count() == 0
+
+
+def test_clashing_names(spark):
+    from seriesmill.llm.common import materialize
+
+    names = ["bin", "offset", "fill", "up", "node", "target", "sequence_id", "_pack_bin", "_own0", "a b"]
+    rows = materialize(spark.range(60).select(F.col("id").alias("doc_id"), F.lit(0).alias("piece"), (F.col("id") * 31 % 900 + 1).alias("length"), F.lit(1).alias("ids_crc32"), *[F.concat(F.lit(n), F.col("id")).alias(n) for n in names]), "pieces")
+    out = packing.pack(rows, rows_per_leaf=7, fan_in=3)
+    assert sorted(out.columns) == sorted(rows.columns)
+    for r in out.collect():
+        assert all(r[n] == f"{n}{r['doc_id']}" for n in names if n not in ("offset", "sequence_id"))
+    check(out, 2048)
+    with pytest.raises(ValueError):
+        packing.pack(rows.drop("length"))
