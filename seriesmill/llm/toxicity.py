@@ -4,13 +4,19 @@ A lexicon of words and word beginnings is learned from labelled documents. Its t
 of all its terms at once: a state is a set of (trie node, errors left), computed on demand and kept, so a word is one walk
 over a table and most words end after a few letters. Around each hit a window of words tells quotation and report from
 abuse, and a logistic model over the hits' counts gives the score.
+
+Labelled documents alone would teach the model little of misspelling and quotation. So each toxic one that has terms is
+joined by two made from it: one with the terms misspelt, which is as toxic, and one that only quotes them, which isn't.
+Hits, misspelt ones included, can't lower a score. Words near a term that other documents use as well aren't misspellings.
 """
 
 from __future__ import annotations
 
 import math
 import re
-from collections.abc import Iterator
+import zlib
+from collections import defaultdict
+from collections.abc import Iterable, Iterator
 from dataclasses import dataclass
 
 import numpy as np
@@ -49,7 +55,8 @@ class Matcher:
 
     DEAD = -1
 
-    def __init__(self, terms: list[Term], known: int = 200_000):
+    def __init__(self, terms: list[Term], known: int = 200_000, ordinary: Iterable[str] = ()):
+        self.ordinary = frozenset(ordinary)
         self.children: list[dict[str, int]] = [{}]
         self.ends: list[list[Term]] = [[]]
         self.room: list[int] = [0]  # errors that some term below allows
@@ -125,7 +132,7 @@ class Matcher:
         return to
 
     def match(self, word: str) -> int:
-        """0: no term; 1: a term; 2: a term misspelt; 3: a word with a term's beginning."""
+        """0: no term; 1: a term; 2: a term misspelt (and no ordinary word); 3: a word with a term's beginning."""
         found = self.cache.get(word)
         if found is None:
             s, moves = self.start, self.moves
@@ -135,6 +142,8 @@ class Matcher:
                 if s < 0:
                     break
             found = 0 if s < 0 else self.accepts[s]
+            if found == 2 and word in self.ordinary:
+                found = 0
             if len(self.cache) >= self.known:
                 self.cache.clear()
             self.cache[word] = found
@@ -173,36 +182,78 @@ def features(text: str, matcher: Matcher) -> list[float]:
 class Model:
     terms: tuple[Term, ...]
     weights: tuple[float, ...]  # constant, then FEATURES
+    ordinary: tuple[str, ...] = ()
+
+    def matcher(self) -> Matcher:
+        return Matcher(list(self.terms), ordinary=self.ordinary)
 
     def scores(self, x: np.ndarray) -> np.ndarray:
         z = self.weights[0] + x @ np.array(self.weights[1:])
         return 1 / (1 + np.exp(-np.clip(z, -30, 30)))
 
 
-def logistic(x: np.ndarray, y: np.ndarray, penalty: float = 1e-3, rounds: int = 40) -> tuple[float, ...]:
-    """Weights, the constant first, of a penalised logistic regression by Newton's method."""
-    a = np.c_[np.ones(len(x)), x]
-    w = np.zeros(a.shape[1])
-    for _ in range(rounds):
-        p = 1 / (1 + np.exp(-np.clip(a @ w, -30, 30)))
-        h = (a * (p * (1 - p))[:, None]).T @ a / len(a) + penalty * np.eye(len(w))
-        step = np.linalg.solve(h, a.T @ (p - y) / len(a) + penalty * w)
-        w = w - step
-        if np.abs(step).max() < 1e-6:
-            break
-    return tuple(float(v) for v in w)
+#: Features that can't lower a score, and the one that can't raise it.
+_RAISE, _LOWER = ("exact", "fuzzy", "prefix", "addressed", "density"), ("quoted",)
+
+
+def logistic(x: np.ndarray, y: np.ndarray, weight: np.ndarray, penalty: float = 1e-3, rounds: int = 40) -> tuple[float, ...]:
+    """Weights, the constant first, of a penalised logistic regression by Newton's method, with the signs that features may
+    have: what comes out with the wrong sign is left out, and the others are fitted again."""
+    sign = np.array([f in _RAISE for f in FEATURES]) * 1.0 - np.array([f in _LOWER for f in FEATURES])
+    used, share = np.ones(len(FEATURES), bool), weight / weight.sum()
+    while True:
+        a = np.c_[np.ones(len(x)), x[:, used]]
+        w = np.zeros(a.shape[1])
+        for _ in range(rounds):
+            p = 1 / (1 + np.exp(-np.clip(a @ w, -30, 30)))
+            h = (a * (share * p * (1 - p))[:, None]).T @ a + penalty * np.eye(len(w))
+            step = np.linalg.solve(h, a.T @ (share * (p - y)) + penalty * w)
+            w = w - step
+            if np.abs(step).max() < 1e-6:
+                break
+        full = np.zeros(len(FEATURES))
+        full[used] = w[1:]
+        if not (wrong := used & (full * sign < 0)).any():
+            return float(w[0]), *map(float, full)
+        used &= ~wrong
+
+
+#: Least hashes kept of a sampled text. Texts that share half of their word triples share one of them in all but 0.4 % of cases.
+MARKS = 8
 
 
 def _signature(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """id, toxic, text and the least hash of the text's word triples: copies and near copies mostly share it."""
+    """id, toxic, text and, under MARKS orders, the least hash of the text's word triples: copies and near copies share some."""
     import xxhash
 
     for b in batches:
         marks = []
         for t in b.column(2).to_pylist():
             w = (t or "").lower().split()
-            marks.append(min((xxhash.xxh64_intdigest(" ".join(w[i : i + 3])) >> 1 for i in range(max(1, len(w) - 2))), default=0))
-        yield pa.RecordBatch.from_arrays([*b.columns, pa.array(marks, pa.int64())], ["id", "toxic", "text", "mark"])
+            h = np.array([xxhash.xxh64_intdigest(" ".join(w[i : i + 3])) for i in range(max(1, len(w) - 2))], np.uint64)
+            marks.append([int(((h ^ np.uint64(0x9E3779B97F4A7C15 * (k + 1) % 2**64)) * np.uint64(0xBF58476D1CE4E5B9)).min() >> np.uint64(1)) for k in range(MARKS)])
+        yield pa.RecordBatch.from_arrays([*b.columns, pa.array(marks, pa.list_(pa.int64()))], ["id", "toxic", "text", "marks"])
+
+
+def first_copies(rows: Iterable[tuple[int, list[int]]]) -> list[int]:
+    """Of ids with marks, the least id of each group that shared marks connect."""
+    parent: dict = {}
+
+    def root(x):
+        while parent.setdefault(x, x) != x:
+            parent[x] = x = parent[parent[x]]
+        return x
+
+    ids = []
+    for i, marks in rows:
+        ids.append(i)
+        for k, m in enumerate(marks):
+            parent[root((k, m))] = root(i)
+    least: dict = {}
+    for i in ids:
+        r = root(i)
+        least[r] = min(i, least.get(r, i))
+    return sorted(least.values())
 
 
 def _beginnings(words: Column, k: int) -> Column:
@@ -210,28 +261,35 @@ def _beginnings(words: Column, k: int) -> Column:
     return F.transform(F.filter(words, lambda w: F.length(w) > k), lambda w: F.concat(F.left(w, F.lit(k)), F.lit("*")))
 
 
-def learn_terms(sample: DataFrame, most: int = 400, evidence: float = 25.0, log_odds: float = 3.0) -> list[Term]:
+def learn_terms(sample: DataFrame, chance: float = 0.01, log_odds: float = 3.0) -> list[Term]:
     """Words and word beginnings (4 to 7 letters) of (toxic, text) that speak for the label; near copies should be in it once.
 
-    A term's share of the toxic texts must exceed its share of the others by log_odds, with a likelihood-ratio statistic of
-    evidence or more (at 25, one in a million terms would pass by chance). The most frequent ones are taken.
+    A term's share of the toxic texts must exceed its share of the others by log_odds, and its likelihood-ratio statistic
+    must be so great that of all terms that are tested none passes by chance, but with that probability. A term that is met
+    without those chosen before must speak for the label there too: words that only go with others aren't terms. No number
+    of terms is set; the sample bounds them.
     """
     words = F.array_distinct(F.regexp_extract_all(F.lower("text"), F.lit(r"(\p{L}{3,40})"), F.lit(1)))
     begun = [_beginnings(words, k) for k in BEGINNINGS]
-    terms = sample.select("toxic", F.explode(F.array_distinct(F.concat(words, *begun))).alias("term"))
+    rows = sample.select("toxic", F.monotonically_increasing_id().alias("row"), F.array_distinct(F.concat(words, *begun)).alias("terms"))
     total = sample.agg(F.sum("toxic").alias("bad"), F.count("*").alias("n")).first()
     bad, good = int(total["bad"] or 0), int((total["n"] or 0) - (total["bad"] or 0))
     if not bad or not good:
         return []
-    counts = terms.groupBy("term").agg(F.sum("toxic").alias("pos"), F.count("*").alias("n"))
+    terms = rows.select("toxic", "row", F.explode("terms").alias("term"))
+    counts = materialize(terms.groupBy("term").agg(F.sum("toxic").alias("pos"), F.count("*").alias("n")).where("pos > 2"), "terms")
+    evidence = 2 * math.log(max(1, counts.count()) / chance)  # for one degree of freedom, exp(-x / 2) bounds the chance
     odds = F.log((F.col("pos") + 0.5) / (bad + 1.0)) - F.log((F.col("n") - F.col("pos") + 0.5) / (good + 1.0))
     q, p = bad / (bad + good), F.col("pos") / F.col("n")
     ratio = 2 * (F.col("pos") * F.log(p / q) + F.when(p < 1, (F.col("n") - F.col("pos")) * F.log((1 - p) / (1 - q))).otherwise(0.0))
-    top = counts.where("pos > 2").where((odds > log_odds) & (ratio > evidence)).orderBy(F.col("pos").desc(), "term").limit(8 * most).collect()
+    top = counts.where((odds > log_odds) & (ratio > evidence)).select(F.col("term").alias("t"), "pos")
+    held = terms.join(top, terms["term"] == top["t"]).groupBy("t", "pos").agg(F.sort_array(F.collect_list(F.struct("row", "toxic"))).alias("rows")).collect()
+    held = sorted(held, key=lambda r: (-r["pos"], r["t"]))
+    pos = {r["t"]: r["pos"] for r in held}
     chosen: list[Term] = []
-    pos = {r["term"]: r["pos"] for r in top}
-    for r in top:
-        t = r["term"]
+    met: set[int] = set()
+    for r in held:
+        t = r["t"]
         beginnings = [t[:k] + "*" for k in BEGINNINGS if len(t.rstrip("*")) > k or (t.endswith("*") and len(t) - 1 > k)]
         if any(b in pos and pos[b] >= r["pos"] and Term(b[:-1], True) in chosen for b in beginnings):
             continue  # a chosen beginning has it
@@ -240,16 +298,43 @@ def learn_terms(sample: DataFrame, most: int = 400, evidence: float = 25.0, log_
             own = max((p for w, p in pos.items() if not w.endswith("*") and w.startswith(t[:-1])), default=0)
             if own >= 0.8 * r["pos"]:
                 continue
+        alone = [x["toxic"] for x in r["rows"] if x["row"] not in met]
+        if len(alone) >= 3 and sum(alone) < 0.5 * len(alone):
+            continue
         chosen.append(Term(t.rstrip("*"), t.endswith("*")))
-        if len(chosen) >= most:
-            break
+        met.update(x["row"] for x in r["rows"])
     return chosen
 
 
+def misspelt(word: str) -> str:
+    """word with one letter after the first left out, doubled, swapped with the next or masked, as a hash of it says."""
+    h = zlib.crc32(word.encode())
+    at, how = 1 + h // 7 % max(1, len(word) - 2), h % 4
+    return (word[:at] + word[at + 1 :], word[:at] + word[at] + word[at:], word[:at] + word[at + 1 : at + 2] + word[at] + word[at + 2 :], word[:at] + "*" + word[at + 1 :])[how]
+
+
+def contrasts(text: str, matcher: Matcher) -> list[tuple[int, str]]:
+    """What a toxic text gives besides itself: (1, the text with its terms misspelt) and (0, the text quoting them)."""
+    bad, quoting, hits, wrong = [], [], 0, 0
+    for raw in text.split():
+        w = raw.strip(_STRIP)
+        if w and matcher.match(w.lower()) == 1:
+            hits += 1
+            other = misspelt(w)
+            wrong += matcher.match(other.lower()) == 2
+            bad.append(raw.replace(w, other))
+            quoting += ["the", "word", raw.replace(w, f'"{w}"')]
+        else:
+            bad.append(raw)
+            quoting.append(raw)
+    return ([(1, " ".join(bad))] if hits and wrong == hits else []) + ([(0, " ".join(quoting))] if hits else [])
+
+
 def train(docs: DataFrame, labels: DataFrame, sample_rows: int = 12_000, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic") -> Model:
     """A model from at most about sample_rows labelled documents, none of which is held out (crc32 of the id, modulo 4, is 2).
 
-    The sample is drawn by a hash of the id, so reruns agree. Without toxic and other rows in it, every score is their share.
+    The sample is drawn by a hash of the id, so reruns agree. Of near copies in it one counts. Without toxic and other rows
+    in it, every score is their share. Null ids and labels are left out; an id with several labels has the greatest.
     """
     held = F.crc32(F.col(id_col).cast("string")) % 4 == 2
     usable = labels.where(F.col(label_col).isNotNull() & F.col(id_col).isNotNull() & ~held)
@@ -258,23 +343,40 @@ def train(docs: DataFrame, labels: DataFrame, sample_rows: int = 12_000, id_col:
     chosen = usable.where(keep).groupBy(F.col(id_col).alias("id")).agg(F.max(label_col).cast("int").alias("toxic"))
     rows = docs.select(F.col(id_col).alias("doc"), F.col(text_col).cast("string").alias("text")).where(F.col("doc").isNotNull())
     picked = rows.join(F.broadcast(chosen), rows["doc"] == chosen["id"]).select(F.col("id").cast("long"), "toxic", F.coalesce("text", F.lit("")).alias("text"))
-    marked = materialize(picked.mapInArrow(_signature, "id long, toxic int, text string, mark long"), "sample")
-    one = marked.groupBy("mark").agg(F.min_by(F.struct("toxic", "text"), "id").alias("r")).select("r.*")
+    marked = materialize(picked.mapInArrow(_signature, "id long, toxic int, text string, marks array<long>"), "sample")
+    firsts = first_copies((r["id"], r["marks"]) for r in marked.select("id", "marks").collect())
+    once = docs.sparkSession.createDataFrame([(i,) for i in firsts], "first long")
+    one = marked.join(F.broadcast(once), marked["id"] == once["first"]).groupBy("id").agg(F.max("toxic").alias("toxic"), F.max("text").alias("text"))
+    one = materialize(one, "once")
     terms = learn_terms(one)
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def near(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = Matcher(terms)
         for b in batches:
-            x = [features(t, own) for t in b.column(1).to_pylist()]
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(x, pa.list_(pa.float64()))], ["toxic", "x"])
+            found: dict[str, list[int]] = defaultdict(lambda: [0, 0])
+            for toxic, t in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
+                for w in {raw.strip(_STRIP) for raw in t.lower().split()}:
+                    if w and own.match(w) == 2:
+                        found[w][toxic] += 1
+            yield pa.RecordBatch.from_arrays([pa.array(list(found), pa.string()), *(pa.array([v[k] for v in found.values()], pa.int64()) for k in (0, 1))], ["word", "others", "toxic"])
+
+    words = one.select("toxic", "text").mapInArrow(near, "word string, others long, toxic long").groupBy("word").agg(F.sum("others").alias("others"), F.sum("toxic").alias("toxic"))
+    ordinary = tuple(sorted(r["word"] for r in words.where("others > 0 and others >= toxic").collect()))
 
-    got = marked.select("toxic", "text").mapInArrow(run, "toxic int, x array<double>").groupBy("toxic", "x").count().collect()
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        own = Matcher(terms, ordinary=ordinary)
+        for b in batches:
+            got = []
+            for toxic, t in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
+                got += [(toxic, features(t, own)), *((y, features(c, own)) for y, c in (contrasts(t, own) if toxic else ()))]
+            yield pa.RecordBatch.from_arrays([pa.array([y for y, _ in got], pa.int32()), pa.array([x for _, x in got], pa.list_(pa.float64()))], ["toxic", "x"])
+
+    got = one.select("toxic", "text").mapInArrow(run, "toxic int, x array<double>").groupBy("toxic", "x").count().collect()
     if not got:
         return Model(tuple(terms), (-5.0, *[0.0] * len(FEATURES)))
-    x, y, c = np.array([r["x"] for r in got]), np.array([r["toxic"] for r in got], float), np.array([r["count"] for r in got])
+    x, y, c = np.array([r["x"] for r in got]), np.array([r["toxic"] for r in got], float), np.array([r["count"] for r in got], float)
     order = np.lexsort([*x.T, y])
-    x, y, c = x[order], y[order], c[order]
-    return Model(tuple(terms), logistic(np.repeat(x, c, axis=0), np.repeat(y, c)))
+    return Model(tuple(terms), logistic(x[order], y[order], c[order]), ordinary)
 
 
 def score(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "text", keep: tuple[str, ...] = ()) -> DataFrame:
@@ -282,7 +384,7 @@ def score(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str =
     python_workers(docs.sparkSession)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        matcher = Matcher(list(model.terms))
+        matcher = model.matcher()
         for b in batches:
             x = np.array([features(t.as_py() or "", matcher) for t in b.column(0)], float).reshape(b.num_rows, len(FEATURES))
             yield pa.RecordBatch.from_arrays([*b.columns[1:], pa.array(model.scores(x))], [*b.schema.names[1:], "toxicity"])
@@ -294,11 +396,14 @@ def score(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str =
 
 
 def without_toxic(docs: DataFrame, model: Model, threshold: float = 0.3, text_col: str = "text") -> DataFrame:
-    """docs without the rows that score threshold or more; columns stay as they are."""
+    """docs without the rows that score threshold or more; columns stay as they are.
+
+    Null and empty texts have no hits and stay; repeated rows stay or go together; an empty table gives an empty one.
+    """
     python_workers(docs.sparkSession)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        matcher = Matcher(list(model.terms))
+        matcher = model.matcher()
         for b in batches:
             texts = b.column(b.schema.get_field_index(text_col))
             x = np.array([features(str(t.as_py() or ""), matcher) for t in texts], float).reshape(b.num_rows, len(FEATURES))

@@ -69,29 +69,67 @@ def planted(spark):
                 words[rng.randrange(60)] = rng.choice(insults)
         rows.append((d, " ".join(words)))
         labels.append((d, int(toxic)))
-    bad = []
-    for d in range(2000, 2040):
+    misspelt, quoted, abused = [], [], []
+    for d in range(2000, 2060):
         words = [rng.choice(vocab) for _ in range(60)]
-        w = list(rng.choice(insults))
+        term = rng.choice(insults)
+        w = list(term)
         w[rng.randrange(1, len(w))] = "*"
-        words[30], words[40] = "".join(w), rng.choice(insults)
-        bad.append((d, " ".join(words)))
-    return spark.createDataFrame(rows, "doc_id long, text string"), spark.createDataFrame(labels, "doc_id long, toxic int"), spark.createDataFrame(bad, "doc_id long, text string"), insults
+        misspelt.append((d, " ".join([*words[:30], "".join(w), *words[30:]])))  # its only sign
+        quoted.append((d, " ".join([*words[:30], "they", "wrote", f'"{term}"', *words[30:]])))
+        abused.append((d, " ".join([*words[:30], "you", "are", term, *words[30:]])))
+    make = lambda r: spark.createDataFrame(r, "doc_id long, text string")
+    return make(rows), spark.createDataFrame(labels, "doc_id long, toxic int"), make(misspelt), make(quoted), make(abused), insults
 
 
 def test_held_out_accuracy(planted):
-    docs, labels, misspelt, insults = planted
+    docs, labels, misspelt, quoted, abused, insults = planted
     model = T.train(docs, labels)
-    assert {t.text for t in model.terms} >= set(insults)
+    assert {t.text for t in model.terms} == set(insults)
     got = T.score(docs, model).join(labels, "doc_id").where("crc32(cast(doc_id as string)) % 4 = 2")
     wrong = got.where((F.col("toxicity") >= 0.3).cast("int") != F.col("toxic")).count()
     assert got.count() > 200 and wrong <= 2
-    assert T.score(misspelt, model).where("toxicity >= 0.3").count() == 40
-    assert T.without_toxic(misspelt, model).count() == 0
+    weight = dict(zip(T.FEATURES, model.weights[1:], strict=True))
+    assert weight["exact"] > 0 and weight["fuzzy"] > 0 and weight["quoted"] <= 0
+    toxic = lambda d: T.score(d, model).where("toxicity >= 0.3").count()
+    assert toxic(misspelt) == 60 and T.without_toxic(misspelt, model).count() == 0
+    assert toxic(abused) == 60 and toxic(quoted) == 0
+
+
+def test_misspellings_and_quotations_made_for_training():
+    m = T.Matcher([T.Term(w) for w in ("idiot", "worthless", "disgusting", "vroknar", "slimbo")])
+    for t in ("idiot", "worthless", "disgusting", "vroknar", "slimbo"):
+        assert T.misspelt(t) != t and m.match(T.misspelt(t)) == 2
+    (one, bad), (zero, quoting) = T.contrasts("You are an idiot, so worthless.", m)
+    at = dict(zip(T.FEATURES, range(len(T.FEATURES)), strict=True))
+    assert (one, zero) == (1, 0) and T.features(bad, m)[at["fuzzy"]] > 0 == T.features(bad, m)[at["exact"]]
+    assert T.features(quoting, m)[at["quoted"]] > 0 == T.features(quoting, m)[at["exact"]]
+    assert T.contrasts("nothing here", m) == []
+
+
+def test_ordinary_words_are_no_misspellings(spark):
+    rng = random.Random(2)
+    filler = lambda: " ".join("".join(rng.choice("abcdefgh") for _ in range(6)) for _ in range(12))
+    rows = [(d, f"{filler()} {'idiom' if d % 3 else 'idiot'} {filler()}") for d in range(900)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    model = T.train(docs, spark.createDataFrame([(d, int(d % 3 == 0)) for d, _ in rows], "doc_id long, toxic int"))
+    assert "idiom" in model.ordinary and model.matcher().match("idiom") == 0 and model.matcher().match("idi0t") == 2
+
+
+def test_copies_count_once():
+    assert T.first_copies([(5, [1, 2]), (3, [9, 2]), (4, [7, 8]), (9, [9, 1])]) == [3, 4]
+
+
+def test_very_long_text(planted, spark):
+    docs, labels, *_, insults = planted
+    model = T.train(docs, labels)
+    long = [(1, ("thing " * 20 + insults[0] + " ") * 20_000), (2, "x" * 10**6), (3, f'"{insults[1]}" ' * 10_000)]
+    got = {r["doc_id"]: r["toxicity"] for r in T.score(spark.createDataFrame(long, "doc_id long, text string"), model).collect()}
+    assert got[1] >= 0.3 and got[2] < 0.3 and got[3] < 0.3
 
 
 def test_labels_of_held_out_rows_do_not_matter(planted):
-    docs, labels, _, _ = planted
+    docs, labels, *_ = planted
     held = F.crc32(F.col("doc_id").cast("string")) % 4 == 2
     flipped = labels.withColumn("toxic", F.when(held, 1 - F.col("toxic")).otherwise(F.col("toxic")))
     assert T.train(docs, labels) == T.train(docs, flipped)
