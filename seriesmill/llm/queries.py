@@ -172,7 +172,10 @@ m AS (
 ), b AS (SELECT *, n_words < 10 OR 100 * n_repeat_words > 20 * n_words AS base_failed FROM m)
 SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed,
   NOT (base_failed OR word_chars < 2 * n_words OR word_chars > 25 * n_words OR 5 * n_symbols > n_words OR 2 * n_dup_lines > n_lines
-    OR 2 * length(regexp_replace(t, '[^a-zA-Z\x{00AA}-\x{FFFF}]+', '', 'g')) < word_chars) AS kept
+    OR 2 * length(regexp_replace(t, '[^\p{L}]+', '', 'g')) < word_chars OR 2 * length(regexp_replace(t, '[^\p{Lu}]+', '', 'g')) > word_chars
+    OR 20 * len(regexp_extract_all(t, '[{}\;=~^]')) > word_chars
+    OR 10 * len(regexp_extract_all(t || chr(10), '(?:[.]{3}|…)[\x20\x09\x0D]*\n')) > 3 * n_lines
+    OR 10 * len(regexp_extract_all(chr(10) || t, '\n[\x20\x09]*[-*•]\x20')) > 9 * n_lines) AS kept
 FROM b
 """
 
