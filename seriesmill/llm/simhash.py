@@ -11,8 +11,9 @@ Two schemes:
   one with at most one error, which the Golay keys forgive. So four tables, each with a block exact and the next one fuzzy.
 * `similarity_scheme(s)`: links documents whose shingle sets are alike by s (Jaccard) or more. That many differing bits
   can't be met by pigeonholes, so each of many independent tables forgives two errors in 23 bits, and 256 bits are compared:
-  pairs that are surely alike by them are links, pairs that may be are verified by their shingle sets themselves. In buckets
-  of more than SHORT_RUN different fingerprints, where pairs would grow with the square, links are those of the 256 bits.
+  pairs that may be alike by them connect documents into groups, and within groups the shingle sets themselves decide. Groups
+  whose sets fit one block are settled there, pair by pair; greater ones in pairs of blocks, but for the pairs of blocks that
+  links already verified connect. Every link is verified, and no pair within a group is left out, whatever its size.
 """
 
 from __future__ import annotations
@@ -32,8 +33,10 @@ from . import golay
 from .common import materialize, python_workers, word_blocks
 from .components import components
 
-#: Runs up to this long are compared pair by pair; in longer ones a spanning set of links is found instead.
+#: Runs up to this long are compared pair by pair at once; in longer ones a spanning set of links is found, which connects the same.
 SHORT_RUN = 8
+#: Shingles of a block, of which two meet in a task.
+BLOCK = 1 << 20
 _BITS = ((np.arange(256)[:, None] >> np.arange(8)) & 1).astype(np.int64)
 
 
@@ -54,9 +57,7 @@ class Scheme:
     compared: int  # of which so many are compared
     limit: int  # differing bits allowed in those
     tables: tuple[Table, ...]
-    sure: int = 0  # differing bits up to which a pair needs no verification by shingles, if similarity is set
-    loose: int = 0  # and up to which it is worth one
-    similarity: float | None = None
+    similarity: float | None = None  # of shingle sets, by which links are verified; then limit only says what may be alike
 
 
 def exact_scheme() -> Scheme:
@@ -70,7 +71,7 @@ def similarity_scheme(similarity: float = 0.8, tables: int = 24) -> Scheme:
     bits = 64 * compared
     spread = math.sqrt(bits * share * (1 - share))
     own = tuple(Table(t // 2, 32 * (t % 2), 23, 32 * (t % 2) + 23, 9) for t in range(tables))
-    return Scheme(words, compared, int(bits * share), own, int(bits * share - 3 * spread), int(bits * share + 2.5 * spread), similarity)
+    return Scheme(words, compared, int(bits * share + 2.5 * spread), own, similarity)
 
 
 def _mixed(h: np.ndarray, j: int) -> np.ndarray:
@@ -101,10 +102,18 @@ def shingle_hashes(data: bytes, k: int) -> Iterator[np.ndarray]:
         yield np.array([digest(b" ".join(rest), 42)], np.uint64)
 
 
-def fingerprint(data: bytes | None, k: int, words: int = 1) -> bytes:
-    """The words of the fingerprint, each as 8 bytes, highest bit first; zeros for a text without words or a null text."""
+def shingle_set(data: bytes | None, k: int) -> np.ndarray:
+    """The hashes of the different shingles, sorted."""
+    return np.unique(np.concatenate([*shingle_hashes(data or b"", k), np.zeros(0, np.uint64)]))
+
+
+def fingerprint(data: bytes | None, k: int, words: int = 1, repeats: bool = True) -> bytes:
+    """The words of the fingerprint, each as 8 bytes, highest bit first; zeros for a text without words or a null text.
+
+    Without repeats each different shingle counts once, as in the similarity of sets.
+    """
     ones, n = np.zeros((words, 64), np.int64), 0
-    for h in shingle_hashes(data or b"", k):
+    for h in shingle_hashes(data or b"", k) if repeats else [shingle_set(data, k)]:
         n += len(h)
         for j in range(words):
             b = _mixed(h, j).view(np.uint8).reshape(-1, 8)
@@ -113,11 +122,11 @@ def fingerprint(data: bytes | None, k: int, words: int = 1) -> bytes:
     return np.packbits(2 * ones[:, ::-1] > n, axis=1).tobytes()
 
 
-def _sketched(k: int, words: int):
+def _sketched(k: int, words: int, repeats: bool):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             texts = b.column(1).cast(pa.binary())
-            fp = [fingerprint(t.as_py(), k, words) for t in texts]
+            fp = [fingerprint(t.as_py(), k, words, repeats) for t in texts]
             yield pa.RecordBatch.from_arrays([b.column(0).cast(pa.int64()), pa.array(fp, pa.binary())], ["id", "fp"])
 
     return run
@@ -185,24 +194,21 @@ def spanning(fp: np.ndarray, limit: int) -> list[tuple[int, int]]:
 
 
 def _run_links(key: np.ndarray, rep: np.ndarray, fp: np.ndarray, scheme: Scheme) -> list[np.ndarray]:
-    """Links (rep, rep, whether sure) within runs of equal keys."""
+    """Links (rep, rep) within runs of equal keys that connect all that the scheme's limit connects."""
     starts = np.flatnonzero(np.r_[True, key[1:] != key[:-1]])
     length = np.diff(np.r_[starts, len(key)])
     out = []
     for s, n in zip(starts[length > SHORT_RUN], length[length > SHORT_RUN], strict=True):
         if found := spanning(fp[s : s + n], scheme.limit):
-            i = rep[s : s + n][np.array(found)]
-            out.append(np.c_[np.sort(i, axis=1), np.ones(len(i), np.int64)])
+            out.append(np.sort(rep[s : s + n][np.array(found)], axis=1))
     short = np.repeat((length > 1) & (length <= SHORT_RUN), length)
     key, rep, fp = key[short], rep[short], fp[short]
-    sure, loose = (scheme.sure, scheme.loose) if scheme.similarity else (scheme.limit, scheme.limit)
     for shift in range(1, SHORT_RUN):
         i = np.flatnonzero(key[shift:] == key[:-shift]) if len(key) > shift else key[:0]
         if not len(i):
             break
-        d = _distance(fp[i], fp[i + shift])
-        i, d = i[d <= loose], d[d <= loose]
-        out.append(np.c_[np.sort(np.stack([rep[i], rep[i + shift]], axis=1), axis=1), d <= sure])
+        i = i[_distance(fp[i], fp[i + shift]) <= scheme.limit]
+        out.append(np.sort(np.stack([rep[i], rep[i + shift]], axis=1), axis=1))
     return out
 
 
@@ -215,7 +221,7 @@ def _linked(scheme: Scheme):
         def links(parts: list[tuple[np.ndarray, ...]]) -> Iterator[pa.RecordBatch]:
             found = _run_links(*(np.concatenate(x) for x in zip(*parts, strict=True)), scheme) if parts else []
             if found and len(pairs := np.unique(np.concatenate(found), axis=0)):
-                yield pa.RecordBatch.from_arrays([pa.array(pairs[:, 0]), pa.array(pairs[:, 1]), pa.array(pairs[:, 2] > 0)], ["u", "v", "sure"])
+                yield pa.RecordBatch.from_arrays([pa.array(pairs[:, 0]), pa.array(pairs[:, 1])], ["u", "v"])
 
         for b in batches:
             if not b.num_rows:
@@ -238,8 +244,9 @@ def _linked(scheme: Scheme):
 def _sets(k: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            found = [np.unique(np.concatenate([*shingle_hashes(t.as_py() or b"", k), np.zeros(0, np.uint64)])).tobytes() for t in b.column(1).cast(pa.binary())]
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(found, pa.binary())], ["id", "shingles"])
+            found = [shingle_set(t.as_py(), k) for t in b.column(2).cast(pa.binary())]
+            n = pa.array([len(x) for x in found], pa.int64())
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), n, pa.array([x.tobytes() for x in found], pa.binary())], ["id", "root", "n", "shingles"])
 
     return run
 
@@ -257,18 +264,101 @@ def _alike(similarity: float):
     return run
 
 
-def _verified(links: DataFrame, own: DataFrame, words: int, similarity: float) -> DataFrame:
-    """Of links (u, v, sure), those that are sure and those whose sets of shingles are alike by similarity."""
-    unsure = links.groupBy("u", "v").agg(F.max("sure").alias("sure")).where("not sure").select("u", "v")
-    asked = unsure.select(F.col("u").alias("_asked")).union(unsure.select("v")).distinct()
-    sets = own.join(asked, own["id"] == asked["_asked"]).select("id", "text").mapInArrow(_sets(words), "id long, shingles binary")
-    sets = materialize(sets.groupBy("id").agg(F.max("shingles").alias("shingles")), "shingles")
-    side = lambda c, s: sets.select(F.col("id").alias(c), F.col("shingles").alias(s))
-    both = unsure.join(side("u", "_a"), "u").join(side("v", "_b"), "v").select("u", "v", "_a", "_b")
-    return links.where("sure").select("u", "v").union(both.mapInArrow(_alike(similarity), "u long, v long"))
+def settle(ids: list[int], labels: list[int], first: list[bool], sets: list[np.ndarray], similarity: float) -> list[tuple[int, int]]:
+    """Links between sets alike by similarity that connect all that such links connect, where equal labels are connected already.
+
+    Those that come first are compared with all, so of two blocks the one's members with the other's.
+    """
+    some = [i for i, x in enumerate(sets) if len(x)]
+    if len(some) < 2:
+        return []
+    ids, labels, first, sets = ([v[i] for i in some] for v in (ids, labels, first, sets))
+    inverse = np.unique(np.concatenate(sets), return_inverse=True)[1].astype(np.int32)
+    size = np.array([len(x) for x in sets])
+    at = np.r_[0, np.cumsum(size)]
+    _, comp = np.unique(labels, return_inverse=True)
+    mark, out = np.zeros(int(inverse.max()) + 1, bool), []
+    for p in np.flatnonzero(first):
+        apart = comp != comp[p]
+        if not (apart & (np.minimum(size, size[p]) >= similarity * np.maximum(size, size[p]))).any():
+            continue
+        own = inverse[at[p] : at[p + 1]]
+        mark[own] = True
+        both = np.add.reduceat(mark[inverse], at[:-1], dtype=np.int64)
+        mark[own] = False
+        near = np.flatnonzero(apart & (both >= similarity * (size + size[p] - both)))
+        for c, i in zip(*np.unique(comp[near], return_index=True), strict=True):
+            out.append((ids[p], ids[near[i]]))
+            comp[comp == c] = comp[p]
+    return out
+
+
+def _settled(similarity: float):
+    """Links of a partition sorted by task, of rows task, first, id, label, shingles; a task's rows are held until it ends."""
 
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        task, rows = None, []
+
+        def links() -> Iterator[pa.RecordBatch]:
+            first, ids, labels, sets = zip(*rows, strict=True)
+            if found := settle(list(ids), list(labels), list(first), [np.frombuffer(x, np.uint64) for x in sets], similarity):
+                u, v = zip(*found, strict=True)
+                yield pa.RecordBatch.from_arrays([pa.array(u, pa.int64()), pa.array(v, pa.int64())], ["u", "v"])
 
-def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = 3, scheme: Scheme | None = None) -> DataFrame:
+        for b in batches:
+            for t, *row in zip(*(c.to_pylist() for c in b.columns), strict=True):
+                if t != task and rows:
+                    yield from links()
+                    rows = []
+                task = t
+                rows.append(row)
+        if rows:
+            yield from links()
+
+    return run
+
+
+def _in_blocks(big: DataFrame, star: DataFrame, block: int) -> DataFrame:
+    """The members of large groups dealt to tasks, one for each two blocks of a group.
+
+    What verified links connect and fills a block by itself has blocks of its own, which needn't meet each other; all else in
+    a group shares blocks, which meet all blocks of the group and themselves.
+    """
+    labels = components(star).select(F.col("node").alias("_node"), F.col("root").alias("_label"))
+    rows = big.join(labels, big["id"] == labels["_node"], "left").select("root", F.coalesce("_label", "id").alias("label"), "id", "n", "shingles")
+    weight = rows.groupBy("root", "label").agg(F.sum("n").alias("w"))
+    kind = weight.select("root", "label", "w", (F.col("w") > block).alias("own"), F.when(F.col("w") > block, F.col("label")).otherwise(F.lit(0)).alias("g"))
+    count = kind.groupBy("root", "own", "g").agg(F.ceil(F.sum("w") / block).cast("long").alias("blocks"))
+    placed = rows.join(kind.drop("w"), ["root", "label"]).join(count, ["root", "own", "g"])
+    placed = materialize(placed.select("root", F.struct("own", "g", F.pmod(F.xxhash64("id"), "blocks").alias("b")).alias("at"), "id", "label", "shingles"), "blocks")
+    blocks = placed.select("root", "at").distinct()
+    one, two = blocks.select(F.col("root").alias("r"), F.col("at").alias("x")), blocks.select("root", F.col("at").alias("y"))
+    pairs = one.join(two, one["r"] == two["root"]).where("x <= y and not (x.own and y.own and x.g = y.g)").select("r", "x", "y", F.xxhash64("r", "x", "y").alias("task"))
+    pairs = materialize(pairs, "pairs")
+    side = lambda c, p, first: placed.join(p.select("r", c, "task"), (placed["root"] == p["r"]) & (placed["at"] == p[c])).select("task", F.lit(first).alias("first"), "id", "label", "shingles")
+    return side("x", pairs, True).union(side("y", pairs.where("x <> y"), False))
+
+
+def _verified(links: DataFrame, own: DataFrame, words: int, similarity: float, block: int = BLOCK) -> DataFrame:
+    """Links (u, v) that connect, of the documents that links connect, those that pairs alike by similarity do."""
+    groups = components(links)
+    sets = own.join(groups, own["id"] == groups["node"]).select("id", "root", "text").mapInArrow(_sets(words), "id long, root long, n long, shingles binary")
+    sets = materialize(sets.groupBy("id").agg(F.max("root").alias("root"), F.max("n").alias("n"), F.max_by("shingles", "n").alias("shingles")), "shingles")
+    large = materialize(sets.groupBy("root").agg(F.sum("n").alias("n")).where(F.col("n") > block).select(F.col("root").alias("large")), "large")
+    rest = sets.join(large, sets["root"] == large["large"], "left_anti")
+    tasks = rest.select(F.xxhash64("root").alias("task"), F.lit(True).alias("first"), "id", F.col("id").alias("label"), "shingles")
+    star = None
+    if not large.isEmpty():
+        big = sets.join(large, sets["root"] == large["large"], "left_semi")
+        side = lambda c, s: big.select(F.col("id").alias(c), F.col("shingles").alias(s))
+        both = links.join(side("u", "_a"), "u").join(side("v", "_b"), "v").select("u", "v", "_a", "_b")
+        star = materialize(both.mapInArrow(_alike(similarity), "u long, v long"), "star")
+        tasks = tasks.union(_in_blocks(big, star, block))
+    found = tasks.repartition("task").sortWithinPartitions("task", "id").mapInArrow(_settled(similarity), "u long, v long")
+    return found.union(star) if star is not None else found
+
+
+def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = 3, scheme: Scheme | None = None, block: int = BLOCK) -> DataFrame:
     """(id_col: long, fingerprint: hex, component_id: long) for every row of docs, component_id the least id that links reach.
 
     Equal fingerprints are one node, whatever their number. A null text counts as empty, and texts without words have the
@@ -278,21 +368,23 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     scheme = scheme or exact_scheme()
     python_workers(docs.sparkSession)
     own = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text"))
-    sketches = materialize(own.mapInArrow(_sketched(words, scheme.words), "id long, fp binary"), "sketches")
+    sketches = materialize(own.mapInArrow(_sketched(words, scheme.words, scheme.similarity is None), "id long, fp binary"), "sketches")
     nodes = sketches.groupBy("fp").agg(F.min("id").alias("rep"))
     keyed = nodes.where("rep is not null").select("rep", "fp").mapInArrow(_keyed(scheme), "key long, rep long, fp binary")
-    links = keyed.repartition("key").sortWithinPartitions("key", "rep").mapInArrow(_linked(scheme), "u long, v long, sure boolean")
-    links = _verified(materialize(links, "links"), own, words, scheme.similarity) if scheme.similarity else links.select("u", "v")
+    links = keyed.repartition("key").sortWithinPartitions("key", "rep").mapInArrow(_linked(scheme), "u long, v long")
+    if scheme.similarity:
+        links = _verified(materialize(links.distinct(), "links"), own, words, scheme.similarity, block)
     roots = components(links)
     named = nodes.join(roots, nodes["rep"] == roots["node"], "left").select("fp", F.coalesce("root", "rep").alias("component_id"))
     return sketches.join(named, "fp").select(F.col("id").alias(id_col), F.lower(F.hex(F.col("fp").substr(1, 8))).alias("fingerprint"), "component_id")
 
 
-def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = 5, similarity: float = 0.8) -> DataFrame:
+def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = 5, similarity: float = 0.8, block: int = BLOCK) -> DataFrame:
     """docs without those that are near copies of a document with a smaller id: one of each group stays.
 
-    Rows with a null id stay. Rows that repeat an id are one document and stay or go together.
+    Rows with a null id stay. Rows that repeat an id are one document and stay or go together. block bounds the shingles
+    that a task compares with as many others, and changes no result.
     """
-    found = near_duplicates(docs, id_col, text_col, words, similarity_scheme(similarity))
+    found = near_duplicates(docs, id_col, text_col, words, similarity_scheme(similarity), block)
     gone = found.where(f"`{id_col}` <> component_id").select(F.col(id_col).alias("_gone")).distinct()
     return docs.join(gone, docs[id_col] == gone["_gone"], "left_anti")

@@ -176,3 +176,92 @@ def test_keep_one_by_similarity(documents, awkward, empty):
     assert not ids & set(same) and set(apart) <= ids and {10 * g for g in range(30)} <= ids
     assert {r["doc_id"] for r in simhash.keep_one(awkward).collect()} >= {None, 4, 5, 6, 7, 8}
     assert simhash.keep_one(empty).count() == 0
+
+
+def variants(rng, n, words, shared):
+    """n texts that keep each part of a common text with a chance that makes their shingle sets alike by about shared."""
+    base = [f"w{rng.randrange(10**6)}" for _ in range(words)]
+    out = []
+    for i in range(n):
+        w = list(base)
+        for p in range(0, words, 20):
+            if rng.random() < shared:
+                w[p + rng.randrange(20)] = f"v{i}{p}"
+        out.append(" ".join(w))
+    return out
+
+
+def connected(texts, similarity=0.8):
+    """The least index that links reach, for each text, by comparing all pairs of shingle sets."""
+    sets = [simhash.shingle_set(t.encode(), 5) for t in texts]
+    labels = list(range(len(texts)))
+    links = simhash.settle(list(range(len(texts))), labels, [True] * len(texts), sets, similarity)
+    root = list(range(len(texts)))
+
+    def find(x):
+        while root[x] != x:
+            x = root[x]
+        return x
+
+    for a, b in links:
+        a, b = sorted((find(a), find(b)))
+        root[b] = a
+    return [find(x) for x in labels]
+
+
+def test_settling_equals_all_pairs():
+    rng = random.Random(12)
+    for share in (0.3, 0.6, 0.75):
+        texts = variants(rng, 40, 200, share)
+        sets = [set(simhash.shingle_set(t.encode(), 5).tolist()) for t in texts]
+        root = list(range(len(texts)))
+        for a, b in itertools.combinations(range(len(texts)), 2):
+            if len(sets[a] & sets[b]) >= 0.8 * len(sets[a] | sets[b]):
+                x, y = sorted((root[a], root[b]))
+                root = [x if r == y else r for r in root]
+        assert connected(texts) == root
+
+
+def test_only_near_copies_go_from_groups_of_any_size(documents):
+    rng = random.Random(11)
+    texts, at = [], []
+    for n, share in ((2, 0.55), (8, 0.55), (9, 0.55), (40, 0.5), (40, 0.55), (40, 0.6), (1000, 0.52), (300, 0.3)):
+        at.append(len(texts))
+        texts += variants(rng, n, 400, share)
+    rows = [(i, t, None, None, 0) for i, t in enumerate(texts)]
+    root = connected(texts)
+    gone = {i for i, r in enumerate(root) if r != i}
+    assert 100 < len(gone) < len(texts) - 400  # many documents have no partner, many have
+    results = []
+    for block in (simhash.BLOCK, 30_000):
+        kept = {r["doc_id"] for r in simhash.keep_one(documents(rows), block=block).collect()}
+        results.append(kept)
+        dropped = set(range(len(texts))) - kept
+        assert dropped <= gone
+        assert len(dropped) >= 0.99 * len(gone)
+    assert results[0] == results[1]
+
+
+def test_results_do_not_depend_on_short_runs(monkeypatch):
+    rng = random.Random(13)
+    texts = [t for n in (3, 9, 40) for t in variants(rng, n, 300, 0.5)]
+    scheme = simhash.similarity_scheme()
+    fp = np.frombuffer(b"".join(simhash.fingerprint(t.encode(), 5, scheme.words, False)[: 8 * scheme.compared] for t in texts), np.uint64).reshape(len(texts), -1)
+    found = []
+    for short in (2, 8, 100):
+        monkeypatch.setattr(simhash, "SHORT_RUN", short)
+        links = simhash._run_links(np.zeros(len(texts), np.int64), np.arange(len(texts)), fp, scheme)
+        root = list(range(len(texts)))
+        for a, b in np.concatenate(links).tolist():
+            x, y = sorted((root[a], root[b]))
+            root = [x if r == y else r for r in root]
+        found.append(root)
+    assert found[0] == found[1] == found[2]
+
+
+def test_repeated_shingles_count_once_between_copies(documents):
+    rng = random.Random(14)
+    part, rest = ([f"w{rng.randrange(10**6)}" for _ in range(n)] for n in (60, 340))
+    texts = [" ".join(part + rest), " ".join(part * 10 + rest)]
+    kept = simhash.keep_one(documents([(i, t, None, None, 0) for i, t in enumerate(texts)])).collect()
+    assert [r["doc_id"] for r in kept] == [0]
