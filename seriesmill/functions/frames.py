@@ -32,13 +32,24 @@ def count(x: Column, spec: SeriesSpec, w: int | None) -> Column:
     return F.count(x).over(spec.last(w))
 
 
+def _moving(x: Column, spec: SeriesSpec, w: int) -> Column:
+    """The sum over a long frame as the difference of two growing ones; x must be finite or NULL."""
+    gone = F.sum(x).over(spec.by.rowsBetween(Window.unboundedPreceding, -w))
+    return F.sum(x).over(spec.expanding) - F.coalesce(gone, F.lit(0.0))
+
+
 def total(x: Column, spec: SeriesSpec, w: int | None) -> Column:
-    """The sum over the frame."""
+    """The sum over the frame, of whatever length: values that aren't finite count in the frames that hold them alone."""
     w = window(w)
     if w is None or w <= LONG:
         return F.sum(x).over(spec.last(w))
-    gone = F.sum(x).over(spec.by.rowsBetween(Window.unboundedPreceding, -w))
-    return F.sum(x).over(spec.expanding) - F.coalesce(gone, F.lit(0.0))
+    x = x.cast("double")
+    up, down = x == float("inf"), x == float("-inf")
+    finite = F.when(F.isnan(x) | up | down, 0.0).otherwise(x)
+    held = lambda odd: _moving(F.when(odd, 1.0).when(x.isNotNull(), 0.0), spec, w) > 0.5
+    ups, downs = held(up), held(down)
+    odd = F.when(held(F.isnan(x)) | (ups & downs), F.lit(float("nan"))).when(ups, F.lit(float("inf"))).when(downs, F.lit(float("-inf")))
+    return F.when(count(x, spec, w) > 0, F.coalesce(odd, _moving(finite, spec, w)))
 
 
 def mean(x: Column, spec: SeriesSpec, w: int | None) -> Column:
@@ -54,7 +65,7 @@ def deviation(x: Column, spec: SeriesSpec, w: int | None, ddof: int = 0) -> Colu
     if w is None or w <= LONG:
         pop = F.stddev_pop(x).over(spec.last(w))
     else:
-        centre = F.first(x, ignorenulls=True).over(spec.whole.orderBy(*spec.order).rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing))
+        centre = F.first(F.when(F.abs(x) < float("inf"), x), ignorenulls=True).over(spec.whole.orderBy(*spec.order).rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing))
         y = x - centre
         m = F.try_divide(total(y, spec, w), k)
         pop = F.sqrt(F.greatest(F.try_divide(total(y * y, spec, w), k) - m * m, F.lit(0.0)))
@@ -106,7 +117,11 @@ def exponential(x: Column, spec: SeriesSpec, decay: float) -> Column:
         return F.last(x, ignorenulls=True).over(spec.expanding)
     if decay == 1:
         return first
-    from pyspark.sql.internal import InternalFunction
-
+    try:
+        from pyspark.sql.internal import InternalFunction
+    except ImportError:  # not a public name: without it, a fold over the values so far, which takes more time for long series
+        so_far = values(x, spec, None)
+        fold = F.aggregate(F.slice(so_far, F.lit(2), F.greatest(F.size(so_far) - 1, F.lit(0))), F.get(so_far, F.lit(0)), lambda a, v: float(decay) * a + float(1 - decay) * v)
+        return F.when(F.size(so_far) > 0, fold)
     rest = F.pow(F.lit(float(decay)), F.count(x).over(spec.expanding).cast("double"))
     return InternalFunction.ewm(x, 1.0 - decay, True).over(spec.by) * (1 - rest) + rest * first

@@ -58,6 +58,7 @@ def filtered(y: np.ndarray, par: Parameters, x: np.ndarray | None = None, garch:
     """
     n = len(y)
     u, h = np.zeros(n), np.ones(n)
+    u2, h2 = np.zeros(n), np.ones(n)  # their squares
     for t in range(n):
         u[t] = y[t] - par.c - _past(y, t, par.phi) - _past(u, t, par.theta)
         if x is not None and par.psi:
@@ -65,12 +66,14 @@ def filtered(y: np.ndarray, par: Parameters, x: np.ndarray | None = None, garch:
         if not abs(u[t]) < 1e12:
             return np.full(n, 1e6), np.ones(n)
         if garch:
-            v = par.omega + _past(u * u, t, par.alpha) + _past(h * h, t, par.beta)
+            u2[t] = u[t] * u[t]
+            v = par.omega + _past(u2, t, par.alpha) + _past(h2, t, par.beta)
             if v < 0:
                 h[t:] = 1.0
                 h[t] = 1e8
                 return u, h
             h[t] = np.sqrt(v)
+            h2[t] = h[t] * h[t]
             if not h[t] < 1e12:
                 return np.full(n, 1e6), np.ones(n)
     return u, h

@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 
 from ..cluster import ship
 from ..spec import SeriesSpec, check_kind
-from .networks import Perceptron
+from .networks import LeastSquares, Perceptron, Recurrent
 
 #: Makes a model with fit(x, y, batch_size, epochs) -> losses and predict(x), from (number of features, name of the model).
 Factory = Callable[[int, str], object]
@@ -27,6 +27,18 @@ def perceptron(layers: Sequence[int] = (), **options) -> Factory:
     return lambda n, name: Perceptron(n, 1, tuple(layers), seed=zlib.crc32(name.encode()), **options)
 
 
+def recurrent(kind: str = "gru", n_hidden: int = 8, **options) -> Factory:
+    """Recurrent networks (rnn, gru or lstm) that differ in their seeds, which follow from the models' names."""
+    import zlib
+
+    return lambda n, name: Recurrent(kind, n, 1, n_hidden, seed=zlib.crc32(name.encode()), **options)
+
+
+def least_squares() -> Factory:
+    """Linear regressions."""
+    return lambda n, name: LeastSquares()
+
+
 def calendar(total: int, train: int, test: int, roll: int | None = None, start: int = 0, end: int | None = None) -> list[int]:
     """The rows at which windows are trained on the train rows before and tested on the test rows after."""
     roll, total = roll or test, total if end is None else min(total, end)

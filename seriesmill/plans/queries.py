@@ -113,6 +113,8 @@ _rolling("dead_zone_sign", "ev", lambda d: M.dead_zone_sign(d, EV, 50.0, out="de
 _rolling("prob_signal", "ev", lambda d: M.signal(d, EV, "prob", F.col("x") / 100, "prob_signal"), "CASE WHEN x / 100 < 0.5 THEN -1.0 ELSE 1.0 END", None)
 _rolling("ffill", "ev", lambda d: M.ffill(d, EV, F.when(F.col("event_id") % 3 > 0, F.col("x"))), "last_value(CASE WHEN event_id % 3 > 0 THEN x END IGNORE NULLS) OVER {u}", None)
 
+_rolling("bfill", "ev", lambda d: M.bfill(d, EV, F.when(F.col("event_id") % 3 > 0, F.col("x"))), "first_value(CASE WHEN event_id % 3 > 0 THEN x END IGNORE NULLS) OVER (PARTITION BY s ORDER BY ts, event_id ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING)", None)
+
 # The same on blocks: a long series isn't one task
 
 
@@ -212,6 +214,11 @@ _signal(
     f"SELECT *, 100 * exp(sum(r * sig) OVER {_U}) AS perf_signal FROM {_LOGRET}",
 )
 
+_signal(
+    "perf_signal_pct", lambda d: X.perf_signal(X.returns(d, PX, False, out="r"), PX, "sig", "r", log=False, out="perf_signal_pct"),
+    f"SELECT *, 100 * product(1 + q * sig) OVER {_U} AS perf_signal_pct FROM (SELECT *, coalesce(x / lag(x) OVER ({_BY['px']}) - 1, 0) AS q FROM sg)",
+)
+
 # Scalar metrics
 
 _ENDS = "min_by(x, t) AS x0, max_by(x, t) AS x1, count(*) AS n"
@@ -243,6 +250,11 @@ _register(
     "roll_sharpe", "px", lambda d: X.roll_sharpe(d, PX, 0.0, 2, 60, False, 1),
     sql=f"SELECT a.s, a.t, CASE WHEN rv = 0 THEN 0 ELSE roll_annual_return / rv END AS roll_sharpe FROM ({_RR}) a JOIN ({_RV}) b USING (s, t)",
 )
+#: The free rate is a column here.
+_register(
+    "roll_sharpe_free", "px", lambda d: X.roll_sharpe(d.withColumn("f", F.length("s") / 1000), PX, "f", 2, 60, False, 1, out="roll_sharpe_free"),
+    sql=f"SELECT a.s, a.t, CASE WHEN rv = 0 THEN 0 ELSE (roll_annual_return - length(a.s) / 1000.0::DOUBLE) / rv END AS roll_sharpe_free FROM ({_RR}) a JOIN ({_RV}) b USING (s, t)",
+)
 _MDD60 = f"SELECT *, {_FOLD} AS d FROM (SELECT *, list(x) OVER {_W} AS l FROM px)"
 _register(
     "roll_calmar", "px", lambda d: X.roll_calmar(d, PX, 2, 60, 1),
@@ -265,6 +277,24 @@ def _scaled(d: DataFrame) -> DataFrame:
 
 _register("scale_revert", "px", _scaled, ("scaled", "reverted"), f"SELECT *, CASE WHEN lo = hi THEN x / (2 * hi) ELSE (x - lo) / (hi - lo) END AS scaled, x AS reverted FROM (SELECT *, min(x) OVER w AS lo, max(x) OVER w AS hi FROM px WINDOW w AS {_sql_window('px', 20)})")
 
+def _scale(name: str, kind: str, a: float, b: float, expr: str, w: int | None = None) -> None:
+    """A query that scales with a fitted model."""
+
+    def scaled(d: DataFrame) -> DataFrame:
+        return S.Scale(kind, a, b, w).fit(d, PX).scale(d, None, name)
+
+    _rolling(name, "px", scaled, expr, w)
+
+
+_scale("scale_std", "std", 1.0, 2.0, f"2 * (x - avg(x) {_WH}) / stddev_pop(x) {_WH} + 1")
+_scale("scale_norm", "norm", -1.0, 1.0, f"2 * (x - min(x) {_WH}) / (max(x) {_WH} - min(x) {_WH}) - 1")
+_scale("scale_raw", "raw", 0.0, 1.0, "x")
+_scale("scale_roll_std", "roll_std", 0.0, 1.0, "(x - avg(x) OVER {w}) / coalesce(nullif(stddev_pop(x) OVER {w}, 0), 1)", 20)
+_register(
+    "batches", "px", lambda d: K.batches(d, PX, 10, 200, 16, out="batch"), ("batch",),
+    f"SELECT *, floor((rn - 10) / 16) AS batch FROM (SELECT *, row_number() OVER ({_BY['px']}) - 1 AS rn FROM px) WHERE rn >= 10 AND rn < 200",
+)
+
 # Econometric filters
 
 _register("ma_filter", "px", lambda d: E.ma(d, PX, (0.3,), 100.0, out="ma_filter"), sql=f"SELECT *, list_reduce(list(x - 100) OVER {_U}, lambda a, v: v - 0.3::DOUBLE * a) AS ma_filter FROM px")
@@ -312,6 +342,18 @@ f AS (SELECT px.* FROM px JOIN (SELECT t FROM px GROUP BY t HAVING count(*) = (S
 SELECT round((SELECT avg(d) FROM (SELECT stddev_pop(x) AS d FROM f GROUP BY s)) / (SELECT stddev_pop(p) FROM (SELECT avg(x) AS p FROM f GROUP BY t)), 6) + 0.0 AS ratio"""
 
 
+def diversified_ratio_weighted(spark: SparkSession, sf_dir: str) -> DataFrame:
+    px = prices(spark, sf_dir)
+    return X.diversified_ratio(px, PX, A.ivp_sql(px, PX)).select(rounded("ratio").alias("ratio"))
+
+
+QUERIES["diversified_ratio_weighted"] = diversified_ratio_weighted
+SQL["diversified_ratio_weighted"] = f"""WITH {_PX}, n AS (SELECT count(DISTINCT s) AS n FROM px),
+w AS (SELECT s, v / sum(v) OVER () AS w FROM (SELECT s, 1 / var_samp(x) AS v FROM px GROUP BY s)),
+f AS (SELECT px.*, w FROM px JOIN w USING (s) JOIN (SELECT t FROM px GROUP BY t HAVING count(*) = (SELECT n FROM n)) USING (t))
+SELECT round((SELECT sum(d) FROM (SELECT any_value(w) * stddev_pop(x) AS d FROM f GROUP BY s)) / (SELECT stddev_pop(p) FROM (SELECT sum(w * x) AS p FROM f GROUP BY t)), 6) + 0.0 AS ratio"""
+
+
 def ivp(spark: SparkSession, sf_dir: str) -> DataFrame:
     return A.ivp_sql(prices(spark, sf_dir), PX).select("s", rounded("weight").alias("weight"))
 
@@ -328,6 +370,16 @@ def _allocation(method: str) -> Callable[[SparkSession, str], DataFrame]:
 
 
 QUERIES |= {m.lower(): _allocation(m) for m in ("ERC", "HRP", "MDP", "MVP", "MVP_uc")}
+#: The weights of least variance solve covariance times weights = 1, here by elimination; gaps hold the last price.
+SQL["mvp"] = f"""WITH RECURSIVE {_PX}, grid AS (SELECT s, t, x FROM (SELECT DISTINCT s FROM px) CROSS JOIN (SELECT DISTINCT t FROM px) LEFT JOIN px USING (s, t)),
+held AS (SELECT s, t, last_value(x IGNORE NULLS) OVER (PARTITION BY s ORDER BY t) AS x FROM grid),
+f AS (SELECT * FROM held WHERE t IN (SELECT t FROM held GROUP BY t HAVING count(x) = count(*))),
+c AS (SELECT a.s AS a, b.s AS b, covar_samp(a.x, b.x) / 1e8 AS v FROM f a JOIN f b USING (t) GROUP BY ALL),
+m AS (SELECT list(l ORDER BY a) AS m, count(*) AS n FROM (SELECT a, list_append(list(v ORDER BY b), 1.0) AS l FROM c GROUP BY a)),
+g AS (SELECT 1 AS k, m, n FROM m UNION ALL SELECT k + 1, list_transform(m, lambda r, i: CASE WHEN i = k THEN list_transform(r, lambda v: v / r[k]) ELSE list_transform(r, lambda v, j: v - r[k] * m[k][j] / m[k][k]) END), n FROM g WHERE k <= n),
+y AS (SELECT unnest(m)[-1] AS w, generate_subscripts(m, 1) AS i FROM g WHERE k = n + 1),
+names AS (SELECT a AS s, row_number() OVER (ORDER BY a) AS i FROM (SELECT DISTINCT a FROM c))
+SELECT s, round(w / sum(w) OVER (), 6) AS weight FROM y JOIN names USING (i)"""
 
 
 def rolling_allocation(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -362,6 +414,18 @@ def ensemble_best(spark: SparkSession, sf_dir: str) -> DataFrame:
     return K.ensemble(_predictions(spark, sf_dir), PX, "bests", 2).select("s", day("t"), rounded("pred").alias("pred"))
 
 
+def walk_forward_recurrent(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Recurrent networks of each kind, trained through time."""
+    parts = [K.walk_forward(_features(spark, sf_dir), PX, ("z6", "z20", "z60"), K.recurrent(k, 4), 126, 63, models=(k,), target="y") for k in ("rnn", "gru", "lstm")]
+    return K.performance(parts[0].union(parts[1]).union(parts[2]), PX).select("s", day("t"), "model", "win", rounded("pred").alias("pred"), rounded("perf").alias("perf"))
+
+
+def least_squares(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The baseline: a linear regression on each window of 63 rows, tested on the next 63."""
+    rows = K.walk_forward(_features(spark, sf_dir), PX, ("z6", "z20"), K.least_squares(), 63, 63, target="y")
+    return rows.where("part = 'test'").select("s", day("t"), "win", rounded("pred").alias("pred"))
+
+
 def walk_forward_losses(spark: SparkSession, sf_dir: str) -> DataFrame:
     return K.losses(_predictions(spark, sf_dir), PX)
 
@@ -370,10 +434,9 @@ _CURVES = ("perf_idx", "perf_est", "perf_iso", "drawdown_idx", "drawdown_est", "
 
 
 def index(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The prices smoothed over 61 rows, from the 61st on: their daily jumps are so wide that a short position would be ruined
-    in a day. A mean of an odd number of rounded values is never halfway between two others."""
-    d = M.sma(prices(spark, sf_dir), PX, 61, out="m").withColumn("n", F.count("x").over(PX.last(61)))
-    return d.where("n = 61").select("s", "t", F.round("m", 4).alias("x"))
+    """The prices smoothed over 61 rows, fewer at the start: their daily jumps are so wide that a short position would be
+    ruined in a day. The factor keeps means of rounded values from falling halfway between two others."""
+    return M.sma(prices(spark, sf_dir), PX, 61, F.col("x") * 0.7310585, "m").select("s", "t", F.round("m", 4).alias("x"))
 
 
 def backtest(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -386,9 +449,9 @@ def key_figures(spark: SparkSession, sf_dir: str) -> DataFrame:
     return R.figures(with_signal(index(spark, sf_dir)), PX, {"strategy": "sig"}, fee=0.0001).select("s", "strategy", "metric", rounded("value").alias("value"))
 
 
-QUERIES |= {f.__name__: f for f in (rolling_allocation, rolling_weights, walk_forward, walk_forward_losses, ensemble_best, backtest, key_figures)}
+QUERIES |= {f.__name__: f for f in (rolling_allocation, rolling_weights, walk_forward, walk_forward_losses, walk_forward_recurrent, least_squares, ensemble_best, backtest, key_figures)}
 
-_INDEX = f"{_PX.replace('px AS', 'raw AS', 1)}, px AS (SELECT s, t, round(avg(x) OVER w, 4) AS x FROM raw WINDOW w AS {_sql_window('px', 61)} QUALIFY count(x) OVER w = 61)"
+_INDEX = f"{_PX.replace('px AS', 'raw AS', 1)}, px AS (SELECT s, t, round(avg(x * 0.7310585::DOUBLE) OVER {_sql_window('px', 61)}, 4) AS x FROM raw)"
 _BT = f"""WITH {_INDEX}, {_SIG},
 a AS (SELECT *, lag(sig) OVER ({_BY['px']}) AS b FROM {_LOGRET}),
 p AS (SELECT *, 100 * exp(sum(r) OVER {_U}) AS perf_idx, 100 * product((exp(r) - 1 - 0.0001::DOUBLE * coalesce(sig - b, 0)) * sig + 1) OVER {_U} AS perf_est FROM a),
@@ -406,3 +469,19 @@ def _curve_sql(p: str) -> str:
 _VOLS = ", ".join(f"sqrt(2.0) * stddev_pop(l_{k}) OVER {_sql_window('px', 252)} AS v_{k}" for k in ("idx", "est", "iso"))
 _LOGS = ", ".join(f"coalesce(ln(perf_{k} / lag(perf_{k}) OVER ({_BY['px']})), 0) AS l_{k}" for k in ("idx", "est", "iso"))
 SQL["backtest"] = f"{_BT}, l AS (SELECT *, {_LOGS} FROM q), v AS (SELECT *, {_VOLS} FROM l) SELECT s, {_DAY}, {', '.join(f'round({c}, 4) + 0.0 AS {c}' for c in _CURVES[:3])}, {', '.join(_curve_sql(c) for c in _CURVES[:3])} FROM v"
+
+_KEY = "PARTITION BY s, strategy ORDER BY t"
+_FIGURES = ("accuracy", "perf", "vol", "sharpe", "calmar")
+SQL["key_figures"] = f"""WITH {_INDEX}, {_SIG}, a AS (SELECT *, lag(sig) OVER ({_BY['px']}) AS b FROM {_LOGRET}),
+u AS (SELECT s, t, r, 'underlying' AS strategy, 1.0::DOUBLE AS g, 100 * product(exp(r)) OVER {_U} AS p FROM a
+  UNION ALL SELECT s, t, r, 'strategy', sig, 100 * product((exp(r) - 1 - 0.0001::DOUBLE * coalesce(sig - b, 0)) * sig + 1) OVER {_U} FROM a),
+w AS (SELECT *, p / lag(p) OVER ({_KEY}) - 1 AS c, 1 - p / max(p) OVER ({_KEY} ROWS UNBOUNDED PRECEDING) AS d FROM u),
+f AS (SELECT s, strategy, avg((sign(r) = sign(g))::INT) AS accuracy, power(max_by(p, t) / min_by(p, t), 252.0::DOUBLE / count(*)) - 1 AS perf, sqrt(252.0::DOUBLE) * stddev_pop(c) AS vol, max(d) AS m FROM w GROUP BY ALL),
+z AS (SELECT *, CASE WHEN vol = 0 THEN 0 ELSE perf / vol END AS sharpe, CASE WHEN m = 0 THEN 0 ELSE perf / m END AS calmar FROM f)
+{' UNION ALL '.join(f"SELECT s, strategy, '{k}' AS metric, round({k}, 6) + 0.0 AS value FROM z" for k in _FIGURES)}"""
+#: A regression on two features with a constant, by its normal equations over centred values.
+_LS = f"(SELECT s, t, lead(r) OVER ({_BY['px']}) AS y, (x - avg(x) OVER w6) / coalesce(nullif(stddev_pop(x) OVER w6, 0), 1) AS p, (x - avg(x) OVER w20) / coalesce(nullif(stddev_pop(x) OVER w20, 0), 1) AS q FROM (SELECT *, coalesce(ln(x / lag(x) OVER ({_BY['px']})), 0) AS r FROM px) WINDOW w6 AS {_sql_window('px', 6)}, w20 AS {_sql_window('px', 20)})"
+SQL["least_squares"] = f"""WITH {_PX}, l AS (SELECT * FROM {_LS} WHERE y IS NOT NULL), o AS (SELECT *, row_number() OVER ({_BY['px']}) - 1 AS i, count(*) OVER (PARTITION BY s) AS n FROM l),
+k AS (SELECT s, i // 63 AS win, avg(p) AS mp, avg(q) AS mq, avg(y) AS my, covar_pop(p, p) AS pp, covar_pop(p, q) AS pq, covar_pop(q, q) AS qq, covar_pop(p, y) AS py, covar_pop(q, y) AS qy FROM o GROUP BY ALL)
+SELECT s, {_DAY}, CAST(win AS INTEGER) AS win, round(my + (p - mp) * (py * qq - qy * pq) / (pp * qq - pq * pq) + (q - mq) * (qy * pp - py * pq) / (pp * qq - pq * pq), 6) + 0.0 AS pred
+FROM o JOIN k USING (s) WHERE i // 63 = win + 1 AND (win + 2) * 63 <= n"""

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -55,8 +55,8 @@ def log_losses(losses: DataFrame, path: str) -> None:
     losses.write.mode("append").parquet(path)
 
 
-def autoregressive(spark: SparkSession, series: int, length: int, phi: Sequence[float], noise: float = 0.01, seed: int = 0) -> DataFrame:
-    """(s, t, x): synthetic autoregressive series, each made in its own group."""
+def autoregressive(spark: SparkSession, series: int, length: int, phi: Sequence[float] | Callable[[int], Sequence[float]], noise: float = 0.01, seed: int = 0) -> DataFrame:
+    """(s, t, x): synthetic autoregressive series, each made in its own group; phi may give the coefficients at each t."""
 
     def run(pdf):
         import numpy as np
@@ -66,8 +66,9 @@ def autoregressive(spark: SparkSession, series: int, length: int, phi: Sequence[
         e = np.random.default_rng([seed, s]).normal(0, noise, length)
         x = np.zeros(length)
         for t in range(length):
-            k = min(t, len(phi))
-            x[t] = e[t] + (np.dot(x[t - k : t][::-1], phi[:k]) if k else 0.0)
+            now = phi(t) if callable(phi) else phi
+            k = min(t, len(now))
+            x[t] = e[t] + (np.dot(x[t - k : t][::-1], now[:k]) if k else 0.0)
         return pd.DataFrame({"s": s, "t": np.arange(length), "x": x})
 
     return spark.range(series).withColumnRenamed("id", "s").groupBy("s").applyInPandas(run, "s long, t long, x double")
