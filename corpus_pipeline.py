@@ -8,7 +8,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from seriesmill.llm.common import materialize
+from seriesmill.llm.common import discard, mark, materialize, sweep
 from seriesmill.llm.mixing import mixed
 from seriesmill.llm.packing import pack_documents
 from seriesmill.llm.pii import redact
@@ -55,8 +55,11 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The result of the last stage over documents."""
+    """The result of the last stage over documents. What a stage wrote on its way goes when its result is written."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     for name, stage in STAGES[:-1]:
-        docs = materialize(stage(spark, docs, sf_dir), f"stage-{name}")
+        begun, before = mark(), docs
+        docs = materialize(stage(spark, before, sf_dir), f"stage-{name}")
+        sweep(spark, begun, keep=[docs])
+        discard(before)
     return STAGES[-1][1](spark, docs, sf_dir)

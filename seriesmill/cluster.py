@@ -5,11 +5,13 @@ from __future__ import annotations
 import shutil
 import tempfile
 import uuid
+from collections.abc import Sequence
 from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 
 _shipped: set[str] = set()
+_written: list[str] = []  # by materialize, in order
 
 
 def ship(spark: SparkSession) -> None:
@@ -46,14 +48,32 @@ def materialize(df: DataFrame, name: str) -> DataFrame:
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
+    _written.append(path)
     out = spark.read.schema(df.schema).parquet(path)
     out._seriesmill_path = path
     return out
 
 
+def _delete(spark: SparkSession, path: str) -> None:
+    where = spark._jvm.org.apache.hadoop.fs.Path(path)
+    where.getFileSystem(spark._jsc.hadoopConfiguration()).delete(where, True)
+
+
 def discard(df: DataFrame) -> None:
     """Deletes the files behind a materialised table that nothing will read again."""
-    spark, path = df.sparkSession, getattr(df, "_seriesmill_path", None)
-    if path:
-        where = spark._jvm.org.apache.hadoop.fs.Path(path)
-        where.getFileSystem(spark._jsc.hadoopConfiguration()).delete(where, True)
+    if path := getattr(df, "_seriesmill_path", None):
+        _delete(df.sparkSession, path)
+
+
+def mark() -> int:
+    """A point in the order of materialised tables, for sweep."""
+    return len(_written)
+
+
+def sweep(spark: SparkSession, since: int, keep: Sequence[DataFrame] = ()) -> None:
+    """Deletes all tables materialised since a mark, but those to keep: what they fed has been written."""
+    kept = {getattr(df, "_seriesmill_path", None) for df in keep}
+    for path in _written[since:]:
+        if path not in kept:
+            _delete(spark, path)
+    _written[since:] = [path for path in _written[since:] if path in kept]

@@ -16,6 +16,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..cluster import materialize
+from ..functions.frames import temporary
 from ..spec import SeriesSpec
 
 
@@ -32,7 +33,7 @@ def blocked(df: DataFrame, spec: SeriesSpec, w: int, operator: Callable[[DataFra
     The order columns must be unique within a key. The partitioned rows are written once to the shared folder, since a block
     is a range partition and must not change between passes.
     """
-    spark, (block, extra) = df.sparkSession, ("_block", "_extra")
+    spark, (block, extra, place) = df.sparkSession, (temporary(df, n) for n in ("block", "extra", "place"))
     n = blocks or int(spark.conf.get("spark.sql.shuffle.partitions"))
     rows = materialize(df.repartitionByRange(n, *spec.keys, *spec.order).withColumn(block, F.spark_partition_id()), "blocks")
     keys = list(spec.keys)
@@ -46,11 +47,11 @@ def blocked(df: DataFrame, spec: SeriesSpec, w: int, operator: Callable[[DataFra
     reached = later.select(*[F.col(k).alias(f"_k{i}") for i, k in enumerate(keys)], F.col(block).alias("_from"), F.explode("_later").alias("_l"), "_end")
     reached = reached.where(F.col("_l._start") - F.col("_end") < w - 1)
     last = Window.partitionBy(*keys, block).orderBy(*[F.col(c).desc() for c in spec.order])
-    tails = rows.withColumn("_r", F.row_number().over(last)).where(F.col("_r") < w)
+    tails = rows.withColumn(place, F.row_number().over(last)).where(F.col(place) < w)
     same = F.col(block) == F.col("_from")
     for i, k in enumerate(keys):
         same = same & F.col(k).eqNullSafe(F.col(f"_k{i}"))
-    moved = tails.join(reached, same).where(F.col("_r") + F.col("_l._start") - F.col("_end") < w)
+    moved = tails.join(reached, same).where(F.col(place) + F.col("_l._start") - F.col("_end") < w)
     moved = moved.select(*df.columns, F.col("_l._to").alias(block), F.lit(True).alias(extra))
     whole = rows.withColumn(extra, F.lit(False)).unionByName(moved)
     return operator(whole, replace(spec, keys=(*spec.keys, block))).where(~F.col(extra)).drop(block, extra)
