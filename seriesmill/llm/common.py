@@ -7,7 +7,7 @@ import re
 from pyspark.sql import Column, SparkSession
 from pyspark.sql import functions as F
 
-from ..cluster import discard, materialize, shared_dir, ship
+from ..cluster import discard, mark, materialize, shared_dir, ship, sweep
 
 #: The characters that separate words: space and the ASCII controls 9 to 13.
 SPACE_CLASS = r"\x20\x09-\x0D"

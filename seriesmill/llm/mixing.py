@@ -106,19 +106,25 @@ def mix(rows: DataFrame, sized: DataFrame, id_col: str, source_col: str, weights
 
 
 def decisions(docs: DataFrame, id_col: str = "doc_id", source_col: str = "source", text_col: str = "text", **options) -> DataFrame:
-    """A row per row of docs: id_col, size, source_size, target, taken and position (of the first copy; null if none is taken)."""
+    """A row per row of docs: id_col, size, source_size, target, taken and position (of the first copy; null if none is taken),
+    range-sorted by position. Other columns are ignored, whatever their names."""
     sized = materialize(docs.select(F.col(id_col).alias("id"), F.col(source_col).alias("source"), word_count(F.col(text_col)).alias("size")), "sized")
     found = mix(sized.withColumn("_mix_size", F.col("size")), sized, "id", "source", **options)
-    return found.select(F.col("id").alias(id_col), "size", F.col("_mix_source_size").alias("source_size"), F.col("_mix_target").alias("target"), F.col("_mix_taken").alias("taken"), F.round(F.get("_mix_positions", F.lit(0)), 9).alias("position"))
+    out = found.select(F.col("id").alias(id_col), "size", F.col("_mix_source_size").alias("source_size"), F.col("_mix_target").alias("target"), F.col("_mix_taken").alias("taken"), F.round(F.get("_mix_positions", F.lit(0)), 9).alias("position"))
+    return out.repartitionByRange(shuffle_partitions(docs.sparkSession), "position", id_col).sortWithinPartitions("position", id_col)
 
 
 def mixed(docs: DataFrame, id_col: str = "doc_id", source_col: str = "source", text_col: str = "text", **options) -> DataFrame:
     """The rows of docs that the mix takes, each as often as it takes them, range-sorted by training position.
 
-    A document of which only a part is due is taken whole if that part is more than half of it. Columns stay as they are.
+    A document of which only a part is due is taken whole if that part is more than half of it. Columns stay as they are,
+    whatever their names.
     """
+    columns, own = docs.columns, {c: f"_own{i}" for i, c in enumerate(docs.columns) if c.startswith(("_mix_", "_own"))}
+    docs = docs.select(*[F.col(f"`{c}`").alias(own.get(c, c)) for c in columns])
+    id_col, source_col, text_col = (own.get(c, c) for c in (id_col, source_col, text_col))
     sized = materialize(docs.select(F.col(id_col).alias("id"), F.col(source_col).alias("source"), word_count(F.col(text_col)).alias("size")), "sized")
     found = mix(docs.withColumn("_mix_size", word_count(F.col(text_col))), sized, id_col, source_col, **options)
     copies = found.withColumn("_mix_position", F.explode(F.slice("_mix_positions", F.lit(1), F.col("_mix_copies"))))
     parts = shuffle_partitions(docs.sparkSession)
-    return copies.repartitionByRange(parts, "_mix_position", id_col).sortWithinPartitions("_mix_position", id_col).select(*docs.columns)
+    return copies.repartitionByRange(parts, "_mix_position", id_col).sortWithinPartitions("_mix_position", id_col).select(*[F.col(f"`{own.get(c, c)}`").alias(c) for c in columns])

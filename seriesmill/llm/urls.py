@@ -58,7 +58,7 @@ def validity(entries: DataFrame) -> DataFrame:
 
 def active(starts: Column, stops: Column, at: Column) -> Column:
     """Whether at lies in one of the intervals: the last start up to at, by binary search, and its stop."""
-    halves = F.array(*[F.lit(1 << i) for i in reversed(range(24))])
+    halves = F.array(*[F.lit(1 << i) for i in reversed(range(31))])
     last = F.aggregate(halves, F.lit(-1), lambda k, s: F.when((k + s < F.size(starts)) & (F.get(starts, k + s) <= at), k + s).otherwise(k))
     return F.coalesce((last >= 0) & (F.get(stops, last).isNull() | (at < F.get(stops, last))), F.lit(False))
 
