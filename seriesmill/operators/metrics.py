@@ -89,7 +89,7 @@ def mad(df: DataFrame, spec: SeriesSpec, value: Value = None, out: str = "mad")
     return joined.groupBy(*spec.keys).agg(F.avg(F.abs(F.col(x) - F.col("_m"))).alias(out))
 
 
-def _fall(x: Column, peak: Column, first: Column, raw: bool) -> Column:
+def fall(x: Column, peak: Column, first: Column, raw: bool) -> Column:
     """How far x is below the peak; in the value's own unit where a series starts with zero."""
     if raw:
         return peak - x
@@ -99,7 +99,7 @@ def _fall(x: Column, peak: Column, first: Column, raw: bool) -> Column:
 def drawdown(df: DataFrame, spec: SeriesSpec, raw: bool = False, value: Value = None, out: str = "drawdown") -> DataFrame:
     """Distance from the greatest value so far, as a share of it unless raw or the series starts with zero."""
     x = spec.x(value)
-    return df.withColumn(out, _fall(x, W.maximum(x, spec, None), F.first(x, True).over(spec.expanding), raw))
+    return df.withColumn(out, fall(x, W.maximum(x, spec, None), F.first(x, True).over(spec.expanding), raw))
 
 
 def mdd(df: DataFrame, spec: SeriesSpec, raw: bool = False, value: Value = None, out: str = "mdd") -> DataFrame:
@@ -183,7 +183,7 @@ def roll_sharpe(df: DataFrame, spec: SeriesSpec, rf: float | str = 0.0, period:
 def roll_drawdown(df: DataFrame, spec: SeriesSpec, w: int | None = None, raw: bool = False, value: Value = None, out: str = "roll_drawdown") -> DataFrame:
     """Distance from the greatest value of the frame."""
     x = spec.x(value)
-    return df.withColumn(out, _fall(x, W.maximum(x, spec, w), F.first(x, True).over(spec.expanding), raw))
+    return df.withColumn(out, fall(x, W.maximum(x, spec, w), F.first(x, True).over(spec.expanding), raw))
 
 
 def roll_mdd(df: DataFrame, spec: SeriesSpec, w: int | None = None, raw: bool = False, value: Value = None, out: str = "roll_mdd") -> DataFrame:

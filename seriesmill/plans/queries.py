@@ -219,6 +219,18 @@ _signal(
     f"SELECT *, 100 * product(1 + q * sig) OVER {_U} AS perf_signal_pct FROM (SELECT *, coalesce(x / lag(x) OVER ({_BY['px']}) - 1, 0) AS q FROM sg)",
 )
 
+
+
+def _on_split_series(name: str, like: str, make: Callable[[DataFrame], DataFrame], scalar: bool = False) -> None:
+    """A query whose series are split into blocks that carry what came before, with the SQL of the one that isn't."""
+    _register(name, "px", make, scalar=scalar)
+    SQL[name] = SQL[like].replace(f"AS {like} ", f"AS {name} ").replace(f"round({like},", f"round({name},").replace(f"AS {like} FROM", f"AS {name} FROM")
+
+
+_on_split_series("drawdown_pct_blocked", "drawdown_pct", lambda d: B.drawdown(d, PX, out="drawdown_pct_blocked", blocks=32))
+_on_split_series("perf_index_blocked", "perf_index", lambda d: B.perf_index(d, PX, out="perf_index_blocked", blocks=32))
+_on_split_series("perf_returns_blocked", "perf_returns", lambda d: B.perf_returns(X.returns(d, PX, True, out="r"), PX, "log", 100.0, "r", "perf_returns_blocked", 32))
+
 # Scalar metrics
 
 _ENDS = "min_by(x, t) AS x0, max_by(x, t) AS x1, count(*) AS n"
@@ -230,6 +242,7 @@ _register("annual_volatility", "px", lambda d: X.annual_volatility(d, PX, ddof=1
 _register("sharpe", "px", lambda d: X.sharpe(d, PX), sql=f"SELECT s, ({_ANNUAL}) / (sqrt(252.0) * pv) AS sharpe FROM {_AGG}", scalar=True)
 _register("calmar", "px", lambda d: X.calmar(d, PX), sql=f"SELECT s, ({_ANNUAL}) / dd AS calmar FROM {_AGG}", scalar=True)
 _register("mdd", "px", lambda d: X.mdd(d, PX), sql=f"SELECT s, dd AS mdd FROM {_AGG}", scalar=True)
+_on_split_series("mdd_blocked", "mdd", lambda d: B.mdd(d, PX, out="mdd_blocked", blocks=32), scalar=True)
 _register("mad", "px", lambda d: X.mad(d, PX), sql="SELECT s, avg(abs(x - m)) AS mad FROM (SELECT *, avg(x) OVER (PARTITION BY s) AS m FROM px) GROUP BY s", scalar=True)
 _Z = f"SELECT *, (x - avg(x) OVER w) / coalesce(nullif(stddev_pop(x) OVER w, 0), 1) AS roll_z_score FROM px WINDOW w AS {_sql_window('px', 20)}"
 _register("roll_z_score", "px", lambda d: X.roll_z_score(d, PX, 20), sql=_Z)

@@ -7,6 +7,7 @@ from pathlib import Path
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from seriesmill.operators import econometrics as E
 from seriesmill.operators import moments as M
@@ -116,3 +117,30 @@ print(len(e.queries()) > 50)
     assert run("seriesmill.llm").stdout.strip() == "True"
     if (root / "seriesmill" / "llm").is_dir():
         assert run("collections.abc").returncode == 0 and run("pyspark.sql").returncode != 0
+
+
+def test_series_in_blocks_equal_whole_series(spark):
+    """Nulls, a null key, a block without values and clashing names."""
+    from seriesmill.operators import blocks as B
+    from seriesmill.operators import metrics as X
+
+    rng = np.random.default_rng(8)
+    rows = [(s, t, None if (40 < t < 90 and s) or rng.random() < 0.1 else float(rng.uniform(1, 3)), t) for s in ("a", "b", None) for t in range(200)]
+    df = spark.createDataFrame(rows, "s string, t long, x double, _r long")
+    spec = SeriesSpec.of("s", "t", "x")
+    pairs = [
+        (B.drawdown(df, spec, out="v", blocks=16), X.drawdown(df, spec, out="v")),
+        (B.perf_index(df, spec, out="v", blocks=16), X.perf_index(df, spec, out="v")),
+        *((B.perf_returns(df, spec, k, out="v", blocks=16), X.perf_returns(df, spec, k, out="v")) for k in ("raw", "log", "pct")),
+    ]
+    for got, want in pairs:
+        assert got.columns == want.columns
+        order = lambda r: (str(r["s"]), r["t"])
+        for a, b in zip(sorted(got.collect(), key=order), sorted(want.collect(), key=order), strict=True):
+            assert a[:4] == b[:4] and (a["v"] == b["v"] or a["v"] == pytest.approx(b["v"], rel=1e-12))
+    folds = {k: (k, F.col("x")) for k in ("max", "min", "sum", "product", "count", "first")}
+    last = {r["s"]: r for r in B.running(df, spec, folds, 16).where("t = 199").collect()}
+    for s in ("a", "b", None):
+        x = [r[2] for r in rows if r[0] == s and r[2] is not None]
+        assert last[s][4:6] == (max(x), min(x)) and last[s]["count"] == len(x) and last[s]["first"] == x[0]
+        assert last[s]["sum"] == pytest.approx(sum(x)) and last[s]["product"] == pytest.approx(math.prod(x))
