@@ -86,7 +86,7 @@ def op6_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
 _OP6_SQL = r"""
 WITH p AS (
   SELECT page_id, url, CAST(DATE '2024-01-01' + CAST(page_id % 366 AS INTEGER) AS DATE) AS fetched,
-    lower(regexp_extract(url, '^[A-Za-z][A-Za-z0-9+.-]*://(?:[^/?#@]*@)?([^/?#:]*)', 1)) AS host,
+    regexp_replace(lower(regexp_extract(url, '^[A-Za-z][A-Za-z0-9+.-]*://(?:[^/?#@]*@)?(\[[^/?#\]]*\]|[^/?#:]*)', 1)), '[.]\z', '') AS host,
     regexp_extract(url, '^[A-Za-z][A-Za-z0-9+.-]*://[^/?#]*([^?#]*)', 1) AS path
   FROM pages
 ), q AS (SELECT *, regexp_extract(path, '^/+([^/]+)', 1) AS segment, regexp_extract(host, '([^.]+[.][^.]+[.][^.]+)$', 1) AS tail FROM p),

@@ -11,21 +11,22 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 #: A URL's host without user and port, and its path without query and fragment.
-HOST = r"^[A-Za-z][A-Za-z0-9+.-]*://(?:[^/?#@]*@)?([^/?#:]*)"
+HOST = r"^[A-Za-z][A-Za-z0-9+.-]*://(?:[^/?#@]*@)?(\[[^/?#\]]*\]|[^/?#:]*)"
 PATH = r"^[A-Za-z][A-Za-z0-9+.-]*://[^/?#]*([^?#]*)"
 
 
 def host(url: Column) -> Column:
-    return F.lower(F.regexp_extract(url, HOST, 1))
+    """The host in lower case, without the dot that may end it; an IPv6 address with its brackets; "" if there is none."""
+    return F.regexp_replace(F.lower(F.regexp_extract(url, HOST, 1)), r"[.]\z", "")
 
 
 def host_keys(name: Column) -> Column:
-    """The host and its parent domains of two labels or more; an empty array for no host."""
+    """The host and its parent domains of two labels or more; an address in brackets alone; an empty array for no host."""
     return F.get(
         F.transform(
             F.array(F.split(name, r"\.", -1)),
             lambda p: F.when(F.length(name) == 0, F.array().cast("array<string>"))
-            .when(F.size(p) < 3, F.array(name))
+            .when((F.size(p) < 3) | name.startswith("["), F.array(name))
             .otherwise(F.transform(F.sequence(F.lit(1), F.size(p) - 1), lambda i: F.array_join(F.slice(p, i, F.size(p)), "."))),
         ),
         F.lit(0),
@@ -67,7 +68,8 @@ def filter_urls(captures: DataFrame, entries: DataFrame, id_col: str = "page_id"
     """(id_col, url_col, at_col, blocked, n_matches, matched) for every row of captures: what the list said when it was fetched.
 
     n_matches counts the capture's keys that were listed then; matched is the longest of them, the first in order among
-    those. A null or hostless URL and a null time match nothing. Repeated rows give a row each, other columns are
+    those. A null or hostless URL and a null time match nothing. Keys are met as they stand: hosts in lower case and without
+    a final dot, paths by case, an IPv6 address in brackets as one host. Repeated rows give a row each, other columns are
     ignored. A hot host's captures are one side of a join whose other side has a row per key, so they can be split.
     """
     lists = validity(entries)

@@ -81,3 +81,9 @@ def test_clashing_columns(spark):
     c = spark.createDataFrame([(1, "http://a.com", on(1), "x", "y")], "page_id long, url string, fetched date, key string, starts string")
     e = spark.createDataFrame([("a.com", "add", on(0), "z")], "key string, action string, at date, page_id string")
     assert urls.filter_urls(c, e).first()["blocked"]
+
+
+def test_addresses_and_final_dots(spark):
+    captures = [(1, "http://[2001:db8::1]:80/x", on(5)), (2, "http://A.com./P", on(5)), (3, "http://a.com/p", on(5)), (4, "http://[::1.2.3.4]/", on(5))]
+    entries = [("[2001:db8::1]", "add", on(1)), ("a.com/P", "add", on(1)), ("3.4]", "add", on(1))]
+    assert [(r[0], r[3], r[5]) for r in run(spark, captures, entries)] == [(1, True, "[2001:db8::1]"), (2, True, "a.com/P"), (3, False, None), (4, False, None)]
