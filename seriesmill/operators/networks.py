@@ -98,6 +98,11 @@ class Perceptron:
                 self.b.append(self.rng.uniform(-k, k, o) if self.bias else np.zeros(o))
         self.state = Optimiser(self.optimiser, (*self.w, *self.b))
 
+    @property
+    def steps(self) -> int:
+        """Steps that the optimiser has taken."""
+        return self.state.steps
+
     def _forward(self, x: np.ndarray, train: bool) -> tuple[list[np.ndarray], list[np.ndarray]]:
         act, _ = ACTIVATIONS[self.activation]
         ins, outs, a = [], [], x
