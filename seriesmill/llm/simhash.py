@@ -339,6 +339,17 @@ def _in_blocks(big: DataFrame, star: DataFrame, block: int) -> DataFrame:
     return side("x", pairs, True).union(side("y", pairs.where("x <> y"), False))
 
 
+def _contracted(links: DataFrame) -> DataFrame:
+    """Fewer links (u, v) that connect the same: each v to its least u, and that one to the other u of v.
+
+    A document has few keys, so a v meets few u, though a u may meet any number of v; near copies that share many buckets
+    would otherwise be linked once for each pivot.
+    """
+    met = links.groupBy("v").agg(F.collect_set("u").alias("us")).select(F.array_min("us").alias("m"), "v", "us")
+    others = met.select("m", F.explode(F.array_remove("us", F.col("m"))).alias("v"))
+    return met.select(F.col("m").alias("u"), "v").union(others.select(F.least("m", "v"), F.greatest("m", "v"))).distinct()
+
+
 def _verified(links: DataFrame, own: DataFrame, words: int, similarity: float, block: int = BLOCK) -> DataFrame:
     """Links (u, v) that connect, of the documents that links connect, those that pairs alike by similarity do."""
     groups = components(links)
@@ -373,7 +384,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     keyed = nodes.where("rep is not null").select("rep", "fp").mapInArrow(_keyed(scheme), "key long, rep long, fp binary")
     links = keyed.repartition("key").sortWithinPartitions("key", "rep").mapInArrow(_linked(scheme), "u long, v long")
     if scheme.similarity:
-        links = _verified(materialize(links.distinct(), "links"), own, words, scheme.similarity, block)
+        links = _verified(materialize(_contracted(links), "links"), own, words, scheme.similarity, block)
     roots = components(links)
     named = nodes.join(roots, nodes["rep"] == roots["node"], "left").select("fp", F.coalesce("root", "rep").alias("component_id"))
     return sketches.join(named, "fp").select(F.col("id").alias(id_col), F.lower(F.hex(F.col("fp").substr(1, 8))).alias("fingerprint"), "component_id")
