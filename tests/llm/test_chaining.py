@@ -260,3 +260,65 @@ def test_recall_of_edited_passages(documents):
     recall = {s: sum(d in hit for d, t in pairs.items() if t == s) / 100 for s in sorted(set(pairs.values()))}
     print("recall by share of replaced words", recall)
     assert recall[0.05] >= 0.98 and recall[0.1] >= 0.85
+
+
+def test_partners_that_are_neither_first_nor_before(documents):
+    """Documents with a passage whose halves, short of 50 words each, other documents hold before and between them."""
+    rng = random.Random(16)
+    rows, want = [], set()
+    line = words(rng, 20)
+    for case in range(12):
+        exact, d = words(rng, 80), 10 * case
+        whole = exact if case % 2 else [f"x{case}{i}" if i in (11, 33, 52, 70) else w for i, w in enumerate(exact)]
+        for i, part in enumerate((exact[:40], exact[40:], exact, exact[:40], exact[40:], whole)):
+            rows.append((d + i, words(rng, 60) + part + words(rng, 60)))
+        want.add((d + 5, d + 2))
+    for i in range(120):  # a line of which most pairs share no more; some also share what follows it, amid others that don't
+        rows.append((1000 + i, words(rng, 40) + line + words(rng, 60)))
+    for i, d in enumerate((1031, 1032, 1090)):
+        if i == 0:
+            after = words(rng, 40)
+        rows[[r[0] for r in rows].index(d)] = (d, words(rng, 40) + line + after + words(rng, 60))
+    want |= {(1090, 1031), (1090, 1032), (1032, 1031)}
+    found = C.repeated_passages(documents([(d, " ".join(t), None, None, 0) for d, t in rows])).collect()
+    assert len(set(found)) == len(found)
+    linked = {(r["doc_id"], r["other_id"]) for r in found}
+    assert {(d, o) for d, o in linked if d < 1000} == {p for p in want if p[0] < 1000}
+    near = {d: d for d, _ in rows}
+    for d, o in sorted(linked):
+        near[d] = near[o]
+    assert all(near[d] == near[o] for d, o in want)
+    assert {d for p in linked for d in p if d >= 1000} == {1031, 1032, 1090}
+
+
+def test_classes_of_a_seed():
+    assert C.classes([(2, 1, True), (3, 1, False), (3, 2, True)]) == {1: 1, 2: 1, 3: 1}
+    assert C.classes([(2, 1, True), (3, 1, False), (3, 2, False)]) == {1: 1, 2: 1, 3: 3}
+    assert C.classes([(1, 1, False), (2, 1, True), (3, 1, False), (3, 2, True)]) == {1: 1, 2: 2, 3: 2}
+
+
+def test_may_share_drops_no_pair_with_a_passage():
+    rng = random.Random(17)
+    for trial in range(30):
+        line, cores, texts = words(rng, 16), [words(rng, 45) for _ in range(3)], []
+        for _ in range(24):
+            edits = set(rng.sample(range(45), rng.choice((0, 2, 5, 7))))
+            core = [w for i, w in enumerate(rng.choice(cores)) for w in ([] if i in edits and rng.random() < 0.3 else [f"y{rng.random()}" if i in edits else w])]
+            texts.append(words(rng, rng.randrange(130)) + line + words(rng, rng.choice((0, 0, 3))) + (core if rng.random() < 0.6 else words(rng, 50)) + words(rng, rng.randrange(130)))
+        hashed = [C.word_hashes(" ".join(t).encode()) for t in texts]
+        shared = set.intersection(*(set(C.seeds(h)[0].tolist()) for h in hashed))
+        if not shared:
+            continue
+        seed = min(shared)
+        at = [int(p[h.tolist().index(seed)]) for h, p in map(C.seeds, hashed)]
+        around = [((h >> np.uint64(32)).astype(np.uint32)[max(0, p - C.SEEN) : p + C.K + C.SEEN], min(p, C.SEEN)) for h, p in zip(hashed, at, strict=True)]
+        got = {p for i, j in C.may_share([v for v, _ in around], [p for _, p in around], np.arange(24), cells=rng.choice((24, 100, 1 << 22))) for p in zip(i.tolist(), j.tolist(), strict=True)}
+        for i in range(24):
+            for j in range(i + 1, 24):
+                (si, xi), (sj, xj) = C.seeds(hashed[i]), C.seeds(hashed[j])
+                pts = sorted((int(p), int(q)) for s, p in zip(si, xi, strict=True) for q in xj[sj == s])
+                x, y = np.array([p for p, _ in pts]), np.array([q for _, q in pts])
+                for c in C.chains(x, y):
+                    ok = C.passages(hashed[i], hashed[j], x[c], y[c], C.K, 50, 0.8)
+                    if any(s <= at[i] and at[i] + C.K <= e and t <= at[j] and at[j] + C.K <= f for s, e, t, f, _ in ok):
+                        assert (i, j) in got, (trial, i, j)
