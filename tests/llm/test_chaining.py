@@ -322,3 +322,52 @@ def test_may_share_drops_no_pair_with_a_passage():
                     ok = C.passages(hashed[i], hashed[j], x[c], y[c], C.K, 50, 0.8)
                     if any(s <= at[i] and at[i] + C.K <= e and t <= at[j] and at[j] + C.K <= f for s, e, t, f, _ in ok):
                         assert (i, j) in got, (trial, i, j)
+
+
+def test_pairs_left_in_lots_give_the_same_rows(documents, monkeypatch):
+    rng = random.Random(21)
+    rows = []
+    for g in range(6):
+        core = words(rng, 60)
+        for d in range(8):
+            copy = [w if rng.random() > 0.12 else f"x{g}{d}{i}" for i, w in enumerate(core)]
+            rows.append((8 * g + d, " ".join(words(rng, 70) + copy + words(rng, 70)), None, None, 0))
+    written = []
+    real = C.materialize
+    monkeypatch.setattr(C, "materialize", lambda df, name: written.append(name) or real(df, name))
+    whole = set(C.repeated_passages(documents(rows)).collect())
+    assert whole and written.count("more") == 1
+    written.clear()
+    monkeypatch.setattr(C, "PAIRS", (5, 0))
+    assert set(C.repeated_passages(documents(rows)).collect()) == whole and written.count("more") > 1
+
+
+def test_words_asked_for_are_sent_in_bounded_batches():
+    text = " ".join(f"w{i}" for i in range(1000))
+    n = 3000
+    asked = [[{"chain": 500 * r + i, "side": 0, "first": i - 64, "last": i + 136} for i in range(500)] for r in range(n // 500)] * 10
+    kind = pa.list_(pa.struct([("chain", pa.int64()), ("side", pa.int32()), ("first", pa.int32()), ("last", pa.int32())]))
+    b = pa.RecordBatch.from_arrays([pa.array([text] * len(asked)), pa.array(asked, kind)], ["text", "asked"])
+    found = list(C._fetched(iter([b])))
+    assert max(x.nbytes for x in found) < 2 * C.BYTES and sum(x.num_rows for x in found) == 10 * n
+    want = (C.word_hashes(text.encode()) >> np.uint64(32)).astype(np.uint32)
+    at = 0
+    for x in found:
+        for r in x.to_pylist():
+            first = asked[at // 500][at % 500]
+            lo = max(0, first["first"])
+            assert (r["chain"], r["lo"]) == (first["chain"], lo) and r["words"] == want[lo : first["last"]].tobytes()
+            at += 1
+
+
+def test_steps_on_many_texts_at_once_are_those_on_each():
+    rng = random.Random(22)
+    texts = [bytes(rng.choice(b"aAbB \n\x0b\xc3\xa9") for _ in range(rng.randrange(300))) for _ in range(200)] + [b"", b" ", b" ".join(b"Q" * n for n in range(70))]
+    hashed = C.hashes_of(texts)
+    assert [h.tolist() for h in hashed] == [C.word_hashes(t).tolist() for t in texts]
+    number, h, at = C.seeds_of(hashed)
+    assert [(h[number == i].tolist(), at[number == i].tolist()) for i in range(len(texts))] == [tuple(x.tolist() for x in C.seeds(t)) for t in hashed]
+    pairs = [[[rng.randrange(4) for _ in range(rng.randrange(C.MARGIN + 1))] for _ in range(2)] for _ in range(2000)]
+    pairs += [[a, [x for x in a if rng.random() > 0.05]] for a, _ in pairs]
+    rows = [np.array([p[s] + [fill] * (C.MARGIN + 3 - len(p[s])) for p in pairs]) for s, fill in ((0, -1), (1, -2))]
+    assert list(zip(*(x.tolist() for x in C.extend_all(*rows)), strict=True)) == [C.extend(np.array(a, int), np.array(b, int)) for a, b in pairs]
