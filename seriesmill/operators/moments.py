@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import frames as W
@@ -88,10 +88,11 @@ def ffill(df: DataFrame, spec: SeriesSpec, value: Value = None, out: str = "ffil
 
 
 def bfill(df: DataFrame, spec: SeriesSpec, value: Value = None, out: str = "bfill") -> DataFrame:
-    """The next value that isn't NULL."""
-    from pyspark.sql import Window
+    """The next value that isn't NULL.
 
-    return df.withColumn(out, F.first(spec.x(value), ignorenulls=True).over(spec.by.rowsBetween(0, Window.unboundedFollowing)))
+    It is the last so far in descending order: a frame that grows costs one step a row, one that shrinks is folded anew for each.
+    """
+    return df.withColumn(out, F.last(spec.x(value), ignorenulls=True).over(spec.falling.rowsBetween(Window.unboundedPreceding, 0)))
 
 
 def lags(df: DataFrame, spec: SeriesSpec, k: int, value: Value = None, out: str = "lag") -> DataFrame:

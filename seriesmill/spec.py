@@ -43,6 +43,11 @@ class SeriesSpec:
     def by(self) -> WindowSpec:
         return Window.partitionBy(*self.keys).orderBy(*self.order)
 
+    @property
+    def falling(self) -> WindowSpec:
+        """by, from the last row to the first; nulls in order columns are first in by, so they are last here."""
+        return Window.partitionBy(*self.keys).orderBy(*[F.col(c).desc_nulls_last() for c in self.order])
+
     @property
     def whole(self) -> WindowSpec:
         """All rows of the series."""
